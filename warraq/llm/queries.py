@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from warraq.llm import bpe, packing
+from pyspark.sql import functions as F
+
+from warraq.llm import bpe, html_main, language, packing
 from warraq.llm._common import read_table
 
 
@@ -14,5 +16,19 @@ def op7_bpe_codec(spark, sf_dir):
     return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op7_bpe_codec)}
+def held_out(id_col="doc_id"):
+    return F.crc32(F.col(id_col).cast("string")) % 4 == 2
+
+
+def op9_language_id(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    profiles = language.learn_profiles(docs.filter(~held_out()))
+    return language.identify_digest(docs, profiles, [F.col("doc_id"), held_out().alias("held_out")])
+
+
+def op10_html_main_text(spark, sf_dir):
+    return html_main.extract(read_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op7_bpe_codec, op9_language_id, op10_html_main_text)}
 ORACLE_SQL: dict[str, str] = {}
