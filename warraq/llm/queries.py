@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from warraq.llm import bpe, html_main, language, packing
+from warraq.llm import bpe, html_main, language, packing, quality_rules
 from warraq.llm._common import read_table
 
 
+def op3_quality_rules(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.learn_decision_list(quality_rules.labelled_statistics(docs, read_table(spark, sf_dir, "labels")))
+    out = quality_rules.apply_rules(docs, rules)
+    return out.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -30,5 +37,5 @@ def op10_html_main_text(spark, sf_dir):
     return html_main.extract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op7_bpe_codec, op9_language_id, op10_html_main_text)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_best_fit_packing, op7_bpe_codec, op9_language_id, op10_html_main_text)}
 ORACLE_SQL: dict[str, str] = {}
