@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from warraq.llm import bpe, html_main, language, packing, quality_rules
+from warraq.llm import bpe, curves, html_main, language, packing, quality_rules
 from warraq.llm._common import read_table
 
 
@@ -23,6 +23,10 @@ def op7_bpe_codec(spark, sf_dir):
     return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op8_hilbert_neighbours(spark, sf_dir):
+    return curves.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def held_out(id_col="doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 4 == 2
 
@@ -37,5 +41,5 @@ def op10_html_main_text(spark, sf_dir):
     return html_main.extract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_best_fit_packing, op7_bpe_codec, op9_language_id, op10_html_main_text)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_best_fit_packing, op7_bpe_codec, op8_hilbert_neighbours, op9_language_id, op10_html_main_text)}
 ORACLE_SQL: dict[str, str] = {}
