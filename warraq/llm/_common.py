@@ -17,7 +17,7 @@ def input_bytes(df: DataFrame, at_least: int = 1 << 20) -> int:
 
     Plans without file statistics report an absurd size; those are measured by one count of rows.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size > 1 << 58:
         size = df.count() * 4096
     return max(size, at_least)

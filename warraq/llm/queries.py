@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from warraq.llm import bpe, curves, html_main, language, packing, quality_rules
+from warraq.llm import bpe, curves, html_main, language, packing, quality_rules, repeats
 from warraq.llm._common import read_table
 
 
+def op2_repeated_substrings(spark, sf_dir):
+    return repeats.span_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality_rules.learn_decision_list(quality_rules.labelled_statistics(docs, read_table(spark, sf_dir, "labels")))
@@ -41,5 +45,5 @@ def op10_html_main_text(spark, sf_dir):
     return html_main.extract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_best_fit_packing, op7_bpe_codec, op8_hilbert_neighbours, op9_language_id, op10_html_main_text)}
+QUERIES = {f.__name__: f for f in (op2_repeated_substrings, op3_quality_rules, op5_best_fit_packing, op7_bpe_codec, op8_hilbert_neighbours, op9_language_id, op10_html_main_text)}
 ORACLE_SQL: dict[str, str] = {}
