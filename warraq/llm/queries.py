@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from warraq.llm import bpe, curves, html_main, language, packing, quality_rules, repeats
+from warraq.llm import bpe, curves, html_main, language, lm_scores, packing, quality_rules, repeats
 from warraq.llm._common import read_table
 
 
+def op1_stupid_backoff(spark, sf_dir):
+    scored = lm_scores.score_documents(read_table(spark, sf_dir, "documents"))
+    return scored.withColumn("log_score", F.round("log_score", 4))
+
+
 def op2_repeated_substrings(spark, sf_dir):
     return repeats.span_digests(read_table(spark, sf_dir, "documents"))
 
@@ -45,5 +50,5 @@ def op10_html_main_text(spark, sf_dir):
     return html_main.extract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_repeated_substrings, op3_quality_rules, op5_best_fit_packing, op7_bpe_codec, op8_hilbert_neighbours, op9_language_id, op10_html_main_text)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_stupid_backoff, op2_repeated_substrings, op3_quality_rules, op5_best_fit_packing, op7_bpe_codec, op8_hilbert_neighbours, op9_language_id, op10_html_main_text)}
+ORACLE_SQL = {"op1_stupid_backoff": lm_scores.ORACLE}
