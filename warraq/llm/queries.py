@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from warraq.llm import bpe, curves, html_main, language, lm_scores, near_duplicates, packing, quality_rules, repeats
+from warraq.llm import bpe, curves, html_main, language, lm_scores, near_duplicates, packing, passages, quality_rules, repeats
 from warraq.llm._common import read_table
 
 
@@ -32,6 +32,10 @@ def op5_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op6_chained_passages(spark, sf_dir):
+    return passages.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_codec(spark, sf_dir):
     return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"))
 
@@ -54,5 +58,5 @@ def op10_html_main_text(spark, sf_dir):
     return html_main.extract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_stupid_backoff, op2_repeated_substrings, op3_quality_rules, op4_ngram_jaccard_join, op5_best_fit_packing, op7_bpe_codec, op8_hilbert_neighbours, op9_language_id, op10_html_main_text)}
+QUERIES = {f.__name__: f for f in (op1_stupid_backoff, op2_repeated_substrings, op3_quality_rules, op4_ngram_jaccard_join, op5_best_fit_packing, op6_chained_passages, op7_bpe_codec, op8_hilbert_neighbours, op9_language_id, op10_html_main_text)}
 ORACLE_SQL = {"op1_stupid_backoff": lm_scores.ORACLE}
