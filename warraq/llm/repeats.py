@@ -197,3 +197,34 @@ def span_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return i, len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept_bytes(text, spans)).hexdigest()
 
     return repeated_spans(docs, output, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", id_col, text_col)
+
+
+def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans shrunk to whole UTF-8 characters, so that what is left stays valid text."""
+    out = []
+    for a, b in spans:
+        while a < b and text[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(text) and text[b] & 0xC0 == 0x80:
+            b -= 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+def cleaned_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text without its repeated byte strings) of each document."""
+
+    def output(i: int, text: bytes, spans: list[tuple[int, int]]) -> tuple:
+        return i, kept_bytes(text, whole_characters(text, spans)).decode("utf-8", "replace")
+
+    return repeated_spans(docs, output, f"{id_col} long, {text_col} string", id_col, text_col)
+
+
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, spans array<struct<start, end>>) in bytes of each document, for callers that cut by themselves."""
+
+    def output(i: int, text: bytes, spans: list[tuple[int, int]]) -> tuple:
+        return i, [[a, b] for a, b in spans]
+
+    return repeated_spans(docs, output, f"{id_col} long, spans array<array<bigint>>", id_col, text_col)
