@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from warraq.functions import constants as C
 from warraq.functions import text as T
+from warraq.operators.components import cut_lineage
 
 FIELDS = tuple(C.FIELD_WEIGHTS)
 PASSAGE_COLUMNS = ("title", "section", "type", "url", "desc", "heading", "keywords", "alt", "body", "img", "updated", "source")
@@ -112,18 +113,17 @@ class Index:
 
 def category_index(passages: DataFrame, category: str) -> Index:
     """An index of one category with its own figures and dense ids in the order of the master's."""
-    own = passages.filter(F.array_contains("categories", category))
-    return Index.build(dense_ids(own))
+    return Index.build(dense_ids(passages.filter(F.array_contains("categories", category)), ["doc_id"], "doc_id"))
 
 
-def dense_ids(df: DataFrame, order: str = "doc_id") -> DataFrame:
-    """Numbers from 0 in the given order without a single-task window: range partitions, then offsets by partition."""
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order)
-    numbered = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33))
-    # checkpointed, as both uses must see the same partitions
-    from warraq.operators.components import cut_lineage
+def dense_ids(df: DataFrame, order: list[str], out: str, first: int = 0) -> DataFrame:
+    """df with numbers from `first` in the given order, without a window over all rows.
 
-    numbered = cut_lineage(numbered)
-    counts = numbered.groupBy("_p").agg(F.count("*").alias("_n"))  # one row for each partition
-    before = counts.alias("a").join(counts.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    return numbered.join(F.broadcast(before), "_p").withColumn(order, F.col("_before") + F.col("_k")).drop("_p", "_k", "_before")
+    Rows are range-partitioned and sorted, and written to the checkpoint folder; numbers count within a
+    partition, and one row for each partition tells how many come before it.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut_lineage(ranged.withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    counts = placed.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_before", F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(before), "_p").withColumn(out, (F.col("_before") + F.col("_k") + first).cast("long")).drop("_p", "_k", "_before")
