@@ -1,9 +1,7 @@
-"""What several operators of this package share: input checks, plan sizes, lineage cuts."""
+"""What several operators of this package share: reading tables, plan sizes, input checks."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,14 +21,6 @@ def input_bytes(df: DataFrame, at_least: int = 1 << 20) -> int:
     return max(size, at_least)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it from there from now on."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="warraq-"))
-    return df.checkpoint(eager=True)
-
-
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

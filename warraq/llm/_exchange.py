@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from warraq.llm._common import input_bytes, require
 
-BATCH_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
+BATCH_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
 #: Text bytes for each byte of a compressed columnar file, for the number of batches.
 EXPANSION = 2
 
@@ -149,7 +149,7 @@ class Question:
 
     def rows(self, b: int) -> list[tuple]:
         spans = zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True)
-        return [(int(self.bucket[s]), b, self.kind, pack(self.keys[s:e], *(x[s:e] for x in self.extra))) for s, e in spans]
+        return [(int(self.bucket[s]), b, self.kind, pack(np.diff(self.keys[s:e], prepend=np.uint64(0)), *(x[s:e] for x in self.extra))) for s, e in spans]
 
     def answer(self, answers: pd.DataFrame, dtype: str) -> np.ndarray:
         """The answers in the order of keys; dtype 'bits' for packed booleans."""
@@ -179,6 +179,8 @@ def answered(questions: DataFrame, kinds: dict[int, tuple[tuple[str, ...], Calla
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         types, work = kinds[key[1]]
         arrays = [unpack(p, *types) for p in part.payload]
+        for a in arrays:
+            a[0] = np.cumsum(a[0], dtype=np.uint64)  # keys travel as the steps between them
         lengths = np.array([len(a[0]) for a in arrays])
         found = work(*(np.concatenate(x) for x in zip(*arrays, strict=True)))
         press, out = zstandard.ZstdCompressor(level=1), []

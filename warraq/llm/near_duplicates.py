@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warraq.llm._common import cut_lineage, require
+from warraq.llm._common import require
 from warraq.llm._exchange import Batch, batches, mix, pack, sizes, unpack
 from warraq.llm._words import batch_words, gram_hashes, words_of
+from warraq.operators.components import components, cut_lineage
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
 BANDS, ROWS, STEP = 28, 4, 16
@@ -98,29 +99,6 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
     return rows_in.mapInArrow(run, "id long, k1 long, k2 long, n_grams long, bands array<long>")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of (a, b): root is the smallest node of its connected component.
-
-    Stars of larger and of smaller neighbours take turns until each node hangs on one root.  Every round
-    is written to the checkpoint folder; only its counts come to the driver.
-    """
-    now = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
-        # a forest of stars: no node has two parents, no parent has a parent
-        parents = now.groupBy("a").agg(F.count("*").alias("n"))
-        wrong = now.join(parents.select(F.col("a").alias("b"), F.col("n").alias("over")), "b", "left").agg(F.count("over").alias("chained"), F.count("*").alias("all"))
-        state = wrong.crossJoin(parents.agg(F.count("*").alias("nodes"))).first()  # two one-row tables
-        if not state["chained"] and state["all"] == state["nodes"]:
-            break
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        now = cut_lineage(small.filter("a <> b").distinct())
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
-
-
 @cache
 def least_matches(step: int, total: int, threshold: float, tolerance: float) -> tuple[tuple[int, int], ...]:
     """((values compared, fewest agreements with which a pair stays) ...): P(J >= t | n of m) >= tolerance.
