@@ -1,0 +1,50 @@
+import pytest
+from pyspark.sql import functions as F
+
+from warraq.functions import text as T
+
+
+def value(spark, expression, **columns):
+    names = list(columns)
+    df = spark.createDataFrame([tuple(columns.values())], ", ".join(f"{n} string" for n in names))
+    return df.select(expression.alias("v")).first()["v"]
+
+
+def run(spark, f, x):
+    return value(spark, f(F.col("x")), x=x)
+
+
+@pytest.mark.parametrize(("token", "index", "query"), [("ties", "ty", "ty"), ("glass", "glas", "glass"), ("payments", "pay", "payment"), ("boxes", "box", "box"), ("singing", "sing", "sing"), ("red", "red", "red"), ("والكتاب", "كتاب", "كتاب"), ("مدرسات", "مدرس", "مدرس"), ("نور", "نور", "نور")])
+def test_stems(spark, token, index, query):
+    assert run(spark, T.stem_index, token) == index
+    assert run(spark, T.stem_query, token) == query
+
+
+def test_tokens(spark):
+    assert run(spark, lambda c: T.tokens_of(T.normalize_index(c)), "a 7 ab") == ["7", "ab"]
+    assert run(spark, lambda c: T.tokens_of(T.normalize_index(c)), "x" * 50) == ["x" * 40]
+    assert run(spark, lambda c: T.without_stops(T.tokens_of(T.normalize_index(c))), "the cat and the cat") == ["cat", "cat"]
+
+
+def test_normalizers_differ_as_they_should(spark):
+    assert run(spark, T.normalize_index, "Snake_case: أَحْمَد، ١٢٣ ؤئة") == "snake_case احمد 123 ويه"
+    assert run(spark, T.normalize_query, "Snake_case: أحمد") == "snake case احمد"
+    assert run(spark, T.normalize_index, "ماء") == "ما"
+    assert run(spark, T.normalize_name, "أبو عبد الله") == run(spark, T.normalize_name, "أبو عبدالله") == "ابوعبدالله"
+    assert run(spark, T.normalize_name, "ماء") == "ماء"
+    assert run(spark, T.normalize_place, "  قَلعة  ") == "قلعه"
+    assert run(spark, lambda c: T.normalize_index(c, compose=True), "ﬁne ２") == "fine 2"
+    assert run(spark, T.normalize_index, None) == ""
+
+
+def test_small_scalars(spark):
+    assert run(spark, T.first_number, "ت ٢٥٦هـ") == 256 and run(spark, T.first_number, "none") is None
+    assert run(spark, T.escape_html, "<a href=\"x\">'&'</a>") == "&lt;a href=&quot;x&quot;&gt;&#39;&amp;&#39;&lt;/a&gt;"
+    assert run(spark, T.url_path, "a b/é+c~d*.html") == "/a%20b/%C3%A9%2Bc~d%2A.html"
+    assert run(spark, lambda c: T.local_digits(c), "2024") == "٢٠٢٤"
+    assert run(spark, T.retrieval_tokens, "Ab قَلم x_1") == ["Ab", "قلم", "x_1"]
+    assert run(spark, T.guess_type, "Landmark card") == "معلم" and run(spark, T.guess_type, "other") == "صفحة"
+    assert [spark.range(1).select(T.fuzzy_budget(F.lit(n))).first()[0] for n in (3, 5, 6)] == [0, 1, 2]
+    assert value(spark, T.edit_distance(F.col("a"), F.col("b")), a="abcd", b="xyzq") == 3
+    assert value(spark, T.edit_distance(F.col("a"), F.col("b")), a="abcd", b="abd") == 1
+    assert run(spark, lambda c: T.clean_text(c, unescape=True), " a &amp;\n b&nbsp;&lt; ") == "a & b <"

@@ -92,10 +92,13 @@ def write_decisions(spark, database: str, results: DataFrame, evidence: DataFram
     affiliation = fresh.select("person_id", F.col("relation").alias("affiliation_type"), "evidence_code", F.col("confidence").cast("smallint").alias("confidence_score"), "verification_status")
     review, reject = review_rows(results, resolve.match_known(people, person, resolve.REVIEW)), reject_rows(results)
     stamped = lambda df: df.withColumn("created_at", F.current_timestamp())
+    ready = []  # all of them before the first insert, as they read the tables
     for name, id_col, df in (("source", None, sources), ("person", None, fresh), ("affiliation", "affiliation_id", affiliation), ("evidence", "evidence_id", proof), ("review_queue", "review_id", stamped(review)), ("rejected_log", "rejected_id", stamped(reject))):
         table = spark.table(f"{database}.{name}")
         full = numbered(df, id_col, table, [c for c in df.columns if c != "created_at"]) if id_col else df
-        cut_lineage(full.select(*(F.col(c) if c in full.columns else F.lit(None).alias(c) for c in table.columns))).write.insertInto(f"{database}.{name}")
+        ready.append((name, cut_lineage(full.select(*(F.col(c) if c in full.columns else F.lit(None).alias(c) for c in table.columns)))))
+    for name, rows in ready:
+        rows.write.insertInto(f"{database}.{name}")
 
 
 def json_lines(df: DataFrame, folder: str) -> None:
