@@ -15,7 +15,7 @@ from warraq.functions import text as T
 PRIORITY = ("N1", "N2", "W1", "D1", "R1", "H1", "U1")
 # Details of traces and reasons of the gate.
 NOT_APPLICABLE = "لا ينطبق"
-GEOGRAPHY_DETAIL = ("اقتراح Claude كان N بدون دليل نسبي صريح (assigned_code=", ") — خُفِّض إلى C قسراً.")
+GEOGRAPHY_DETAIL = ("الاقتراح كان N بدون دليل نسبي صريح (assigned_code=", ") — خُفِّض إلى C قسراً.")
 NISBA_DETAIL = "نسبة 'العبدي' مجردة بلا نص رابط — صُنِّف C/R1."
 HADITH_DETAIL = "hadith_evaluation مقروء فقط في حقل التقييم الحديثي، لا في proposed_relation."
 CONTRADICTION_DETAIL = "تعارض نسبي بين المصادر: "

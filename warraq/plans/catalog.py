@@ -342,7 +342,7 @@ NOW_MS = 1_000_000_000_000
 
 @query(f"SELECT o_orderkey, round(1 + greatest(0, 0.12::DOUBLE * (1 - ({NOW_MS} - epoch_ms(o_orderdate)) / (3.0::DOUBLE * {C.YEAR_MS}))), 6) AS boost FROM orders")
 def recency_boost(spark, sf_dir):
-    ms = F.unix_millis(F.to_timestamp("o_orderdate"))
+    ms = F.unix_millis(F.to_timestamp(F.concat(F.col("o_orderdate").cast("string"), F.lit("Z"))))  # in any session time zone
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(rank.recency(ms, NOW_MS), 6).alias("boost"))
 
 

@@ -20,8 +20,8 @@ TABLES = {
     "affiliation": "affiliation_id BIGINT, person_id BIGINT, affiliation_type STRING, evidence_code STRING, confidence_score SMALLINT, verification_status STRING",
     "evidence": "evidence_id BIGINT, person_id BIGINT, source_id BIGINT, claim_type STRING, quotation STRING, confidence SMALLINT, notes STRING",
 }
-# Fixed value: the note of persons that the accept route inserts.
-ACCEPT_NOTE = "أُدرج آلياً عبر أنبوب AQ-Extract — بوابة ACCEPT"
+#: The note of persons that the accept route inserts.
+ACCEPT_NOTE = "أُدرج آلياً — بوابة ACCEPT"
 
 
 def ensure_tables(spark, database: str) -> None:
