@@ -151,12 +151,15 @@ class Question:
         spans = zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True)
         return [(int(self.bucket[s]), b, self.kind, pack(np.diff(self.keys[s:e], prepend=np.uint64(0)), *(x[s:e] for x in self.extra))) for s, e in spans]
 
-    def answer(self, answers: pd.DataFrame, dtype: str) -> np.ndarray:
-        """The answers in the order of keys; dtype 'bits' for packed booleans."""
+    def answer(self, answers: pd.DataFrame, dtype: str | tuple[str, ...]) -> np.ndarray:
+        """The answers in the order of keys; dtype 'bits' for packed booleans, a tuple for several columns."""
         own = answers[answers.kind == self.kind]
         by = dict(zip(own.bucket.tolist(), own.payload.tolist(), strict=True))
+        spans = list(zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True))
+        if isinstance(dtype, tuple):
+            return np.concatenate([np.empty((0, len(dtype)), dtype[0]), *(np.column_stack(unpack(by[int(self.bucket[s])], *dtype)) for s, _ in spans)])
         parts = []
-        for s, e in zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True):
+        for s, e in spans:
             raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(by[int(self.bucket[s])]), np.uint8)
             parts.append(np.unpackbits(raw, count=e - s).astype(bool) if dtype == "bits" else raw.view(dtype))
         return np.concatenate(parts) if parts else np.empty(0, bool if dtype == "bits" else dtype)
@@ -172,8 +175,8 @@ def question_frame(b: int, questions: list[Question]) -> pd.DataFrame:
 def answered(questions: DataFrame, kinds: dict[int, tuple[tuple[str, ...], Callable[..., np.ndarray]]]) -> DataFrame:
     """Answers of each bucket: kinds[k] = (types of the packed arrays, function of the joined arrays).
 
-    The function gets the arrays of all batches end to end and returns an answer for each entry (booleans
-    are packed to bits).
+    The function gets the arrays of all batches end to end and returns an answer for each entry: a boolean
+    (packed to bits), a number or a row of numbers.
     """
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -185,7 +188,7 @@ def answered(questions: DataFrame, kinds: dict[int, tuple[tuple[str, ...], Calla
         found = work(*(np.concatenate(x) for x in zip(*arrays, strict=True)))
         press, out = zstandard.ZstdCompressor(level=1), []
         for piece in np.split(found, np.cumsum(lengths)[:-1]):
-            out.append(press.compress(np.packbits(piece).tobytes() if piece.dtype == bool else piece.tobytes()))
+            out.append(pack(*piece.T) if piece.ndim == 2 else press.compress(np.packbits(piece).tobytes() if piece.dtype == bool else piece.tobytes()))
         return pd.DataFrame({"b": part.b, "bucket": key[0], "kind": key[1], "payload": out})
 
     return questions.groupBy("bucket", "kind").applyInPandas(run, ANSWERS)
