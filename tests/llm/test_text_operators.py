@@ -53,6 +53,44 @@ def test_repeats_of_repetitive_texts(spark):
     assert cleaned[2] == "" and set(cleaned[5]) <= {"é"}
 
 
+def test_long_texts_in_parts_give_the_same_passes():
+    import pandas as pd
+    import zstandard
+
+    from warraq.llm._exchange import Batch, Question
+
+    rng = np.random.default_rng(1)
+    part = bytes(rng.integers(97, 123, 700, dtype=np.uint8))
+    texts = [bytes(rng.integers(97, 123, 900, dtype=np.uint8)) + part + b"z" * 150 + part[:300], b"q" + part, part[50:260], b"short"]
+    head = np.array([len(texts), *range(len(texts)), *map(len, texts)], "<i8").tobytes()
+    batch = Batch([zstandard.ZstdCompressor().compress(head + b"".join(texts))])
+
+    def spans(size: int) -> list:
+        s = repeats.Suffixes(batch, 1, 100, 32, size)
+        anchors, runs = s.first_questions()
+        frame = lambda q, bits: pd.DataFrame({"bucket": [0], "kind": [q.kind], "payload": [zstandard.ZstdCompressor().compress(np.packbits(bits).tobytes())]})
+        contents = defaultdict(set)
+        for a, c in zip(s.anchor.tolist(), s.content.tolist(), strict=True):
+            contents[a].add(c)
+        s.settle_runs(pd.concat([frame(anchors, np.array([len(contents[k]) > 1 for k in anchors.keys.tolist()])), frame(runs, np.ones(len(runs.keys), bool))]))
+        windows: Question = s.window_question()
+        doc, low, high = s.repeated_windows(frame(windows, np.ones(len(windows.keys), bool)))
+        return [repeats.merged(low[doc == d], high[doc == d]) for d in range(len(texts))]
+
+    assert spans(1 << 20) == spans(200) == spans(333)
+    assert [sum(b - a for a, b in x) for x in spans(200)] == [r[2] for r in brute_spans(list(enumerate(texts)))]
+
+
+def test_words_of_long_texts_in_parts(monkeypatch):
+    from warraq.llm import _words
+
+    raw = np.frombuffer(b"alpha be  gamma\ndelta " * 50 + b"x" * 400 + b" end", np.uint8)
+    whole = _words.words_of(np.array([0, len(raw)]), raw)
+    monkeypatch.setattr(_words, "PART", 64)
+    parts = _words.words_of(np.array([0, len(raw)]), raw)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
 def test_repeats_of_nothing(empty):
     assert repeats.span_digests(empty).count() == 0
 

@@ -129,14 +129,21 @@ class Batch:
         self.texts = [t for _, t in found]
 
     def chunks(self, size: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first document, offsets of each document and the end, bytes) of about this many bytes each."""
+        """(first document, offsets of each document and the end, bytes) of about this many bytes; a text that is
+        longer comes by itself."""
+
+        def joined(first: int, end: int) -> tuple[int, np.ndarray, np.ndarray]:
+            part = self.texts[first:end]
+            return first, np.concatenate(([0], np.cumsum([len(x) for x in part]))).astype(np.int64), np.frombuffer(b"".join(part), np.uint8)
+
         first = total = 0
         for k, t in enumerate(self.texts):
+            if k > first and total + len(t) > size:
+                yield joined(first, k)
+                first, total = k, 0
             total += len(t)
-            if total >= size or k + 1 == len(self.texts):
-                part = self.texts[first : k + 1]
-                yield first, np.concatenate(([0], np.cumsum([len(x) for x in part]))).astype(np.int64), np.frombuffer(b"".join(part), np.uint8)
-                first, total = k + 1, 0
+        if first < len(self.texts):
+            yield joined(first, len(self.texts))
 
 
 class Question:

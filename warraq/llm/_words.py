@@ -11,6 +11,10 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _STEP = np.uint64(0xA24BAED4963EE407)
 
 
+#: Bytes that are hashed at once; a longer text goes in parts.
+PART = 1 << 20
+
+
 def words_of(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words before each document and in all); a word: `[^\\x20\\x09-\\x0D]+`."""
     if not len(raw):
@@ -22,8 +26,14 @@ def words_of(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarr
     start[1:] &= ~ink[:-1] | edge[1:-1]
     end = ink.copy()
     end[:-1] &= ~ink[1:] | edge[1:-1]
-    begin = np.flatnonzero(start)
-    return PrefixHash(raw).ranges(begin, np.flatnonzero(end) + 1), np.searchsorted(begin, offsets)
+    begin, after = np.flatnonzero(start), np.flatnonzero(end) + 1
+    hashes, k = np.empty(len(begin), np.uint64), 0
+    while k < len(begin):
+        last = max(k + 1, int(np.searchsorted(after, begin[k] + PART, side="right")))
+        low = begin[k]
+        hashes[k:last] = PrefixHash(raw[low : after[last - 1]]).ranges(begin[k:last] - low, after[k:last] - low)
+        k = last
+    return hashes, np.searchsorted(begin, offsets)
 
 
 def batch_words(batch: Batch) -> tuple[np.ndarray, np.ndarray]:

@@ -16,6 +16,7 @@ Anchors are chosen by content, so equal windows always have equal digits and non
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ from warraq.llm._exchange import ANSWERS, QUESTIONS, Batch, PrefixHash, Question
 
 THRESHOLD, ANCHOR = 100, 32
 _PLACE_BITS = 24
+#: Bytes that are digested at once; a longer text goes in parts.
+PART = 1 << 20
 _ANCHORS, _RUNS, _WINDOWS = 0, 1, 2
 
 
@@ -61,15 +64,26 @@ def runs_of(offsets: np.ndarray, raw: np.ndarray, threshold: int, anchor: int) -
     return doc, begin - offsets[doc], count, digit[spot[new]], content
 
 
+def runs_in_parts(offsets: np.ndarray, raw: np.ndarray, threshold: int, anchor: int, part: int = PART) -> Iterator[tuple[np.ndarray, ...]]:
+    """runs_of() a chunk, a long text in overlapping parts; a run that a part cuts becomes two, with the same windows."""
+    if len(offsets) != 2 or len(raw) <= 2 * part:
+        yield runs_of(offsets, raw, threshold, anchor)
+        return
+    for low in range(0, len(raw) - threshold + 1, part):
+        piece = raw[low : low + part + threshold - 1]
+        doc, start, *rest = runs_of(np.array([0, len(piece)]), piece, threshold, anchor)
+        yield doc, start + low, *rest
+
+
 class Suffixes:
     """Runs of a batch, and what the passes have settled about them."""
 
-    def __init__(self, batch: Batch, n_buckets: int, threshold: int, anchor: int):
+    def __init__(self, batch: Batch, n_buckets: int, threshold: int, anchor: int, part: int = PART):
         self.batch, self.n_buckets, self.threshold = batch, n_buckets, threshold
         parts = []
-        for first, offsets, raw in batch.chunks():
-            doc, start, count, digit, content = runs_of(offsets, raw, threshold, anchor)
-            parts.append((doc + first, start, count, digit, content))
+        for first, offsets, raw in batch.chunks(part):
+            for doc, start, count, digit, content in runs_in_parts(offsets, raw, threshold, anchor, part):
+                parts.append((doc + first, start, count, digit, content))
         empty = [np.empty(0, np.int64)] * 3 + [np.empty(0, np.uint64)] * 2
         self.doc, self.start, self.count, self.anchor, content = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else empty
         self.content = mix(content ^ self.anchor) | np.uint64(1)
