@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from warraq.functions import constants as C
 from warraq.functions import text as T
+from warraq.operators import components as linked
 from warraq.operators import expand, graph, hybrid, index, passages, places, present, rank, resolve, rules, tiers
-from warraq.sources import files, sinks
+from warraq.sources import files, live, sinks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -699,3 +700,57 @@ def hybrid_topk(spark, sf_dir):
     docs = documents(spark, sf_dir)
     dense = hybrid.cosine(table(spark, sf_dir, "embeddings"), _query_vectors(spark, sf_dir)).withColumnRenamed("vec_id", "doc_id")
     return hybrid.combine(docs, searches(spark), hybrid.okapi(docs, searches(spark)), dense).withColumn("score", F.round("score", 5))
+
+
+# --- further operators ----------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_nationkey) AS root FROM customer UNION ALL SELECT 1000000 + c_nationkey, min(c_custkey) FROM customer GROUP BY c_nationkey")
+def connected_components(spark, sf_dir):
+    return linked.components(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), (F.lit(1_000_000) + F.col("c_nationkey")).cast("long").alias("b")))
+
+
+@query(
+    f"WITH {TOKENS_CTE}, h AS (SELECT doc_id, section || ' ' || title || ' ' || section || '    ' || substr(body, 1, 1200) AS h FROM pas), m AS (SELECT doc_id FROM h WHERE regexp_matches(h, '(?i)license|warranty'))"
+    ", l AS (SELECT m.doc_id, greatest(count(token), 1) AS l FROM m LEFT JOIN tok USING (doc_id) GROUP BY m.doc_id) SELECT count(*) AS n_docs, round(avg(l), 6) AS avg_len FROM l"
+)
+def category_figures(spark, sf_dir):
+    p = passages.classify(index.as_passages(documents(spark, sf_dir)), LATIN_CLASSES, with_files=False)
+    return index.category_index(p, "law").figures.withColumn("avg_len", F.round("avg_len", 6))
+
+
+@query(
+    f"WITH {BM25_CTE}, m AS (SELECT query_id, doc_id, unnest(terms) AS term FROM sc), g AS (SELECT query_id, doc_id, term, quality, grp FROM m JOIN cand USING (query_id, term) WHERE length(term) >= 3)"
+    " SELECT query_id, doc_id, array_to_string(list_sort(list(DISTINCT term) FILTER (WHERE quality >= 0.45 AND grp IS NOT NULL))[1:12], ',') AS terms FROM g GROUP BY ALL HAVING count(*) FILTER (WHERE quality >= 0.45 AND grp IS NOT NULL) > 0"
+)
+def display_terms(spark, sf_dir):
+    ix = built(spark, sf_dir)
+    found = offered(spark, ix)
+    shown = present.display_terms(found, rank.bm25(found, ix))
+    return shown.filter(F.size("terms") > 0).select("query_id", "doc_id", F.array_join("terms", ",").alias("terms"))
+
+
+@query("SELECT p_partkey, CASE WHEN regexp_matches(p_name, '(?i)manuscript') THEN 'مخطوطة' WHEN regexp_matches(p_name, '(?i)landmark') THEN 'معلم' WHEN regexp_matches(p_name, '(?i)person') THEN 'شخصية' WHEN regexp_matches(p_name, '(?i)era|timeline') THEN 'حدث' WHEN regexp_matches(p_name, '(?i)ansab') THEN 'نسب' WHEN regexp_matches(p_name, '(?i)library') THEN 'مرجع' ELSE 'صفحة' END AS type FROM part")
+def guess_types(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.guess_type(F.col("p_name")).alias("type"))
+
+
+@query()
+def known_person_match(spark, sf_dir):
+    """Rows only, as no SQL has the similarity of names."""
+    people = _people(spark, sf_dir)
+    known = people.filter("idx % 2 = 0").select(F.col("idx").alias("person_id"), "canonical_name", "kunya", F.col("geographical_mentions")[0].alias("geographical_scope"))
+    return resolve.match_known(people, known, resolve.REVIEW)
+
+
+@query()
+def live_sections(spark, sf_dir):
+    return live.live_sections(table(spark, sf_dir, "pages")).select("page_id", "entry_no", "title", "body")
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(replace(substr(coalesce(text, ''), 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;') AS plain FROM documents")
+def highlight_html(spark, sf_dir):
+    """With the marks taken out again it is the escaped text."""
+    rows = documents(spark, sf_dir).select("doc_id", F.substring(T.text("text"), 1, 300).alias("text"), F.array(*map(F.lit, SNIPPET_TERMS)).alias("terms"))
+    shown = present.highlight_html(rows, "text", "terms")
+    return shown.select("doc_id", F.regexp_replace("html", "</?mark>", "").alias("plain"))
