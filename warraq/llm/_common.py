@@ -21,6 +21,21 @@ def input_bytes(df: DataFrame, at_least: int = 1 << 20) -> int:
     return max(size, at_least)
 
 
+#: Rows of an Arrow batch between the JVM and Python, for tables of whole texts.
+BATCH_ROWS = "1000"
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """The same df; its session sends Arrow batches of BATCH_ROWS rows unless a size was chosen.
+
+    The default of 10,000 whole texts a batch takes much memory in the JVM and in Python at the same time.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df
+
+
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

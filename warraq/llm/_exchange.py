@@ -18,9 +18,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warraq.llm._common import input_bytes, require
+from warraq.llm._common import input_bytes, require, short_batches
 
-BATCH_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
+BATCH_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
 #: Text bytes for each byte of a compressed columnar file, for the number of batches.
 EXPANSION = 2
 
@@ -81,16 +81,16 @@ def unpack(raw: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def sizes(docs: DataFrame) -> tuple[int, int]:
+def sizes(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[int, int]:
     """(number of batches, number of buckets) for this input."""
     total = EXPANSION * input_bytes(docs)
-    return max(1, -(-total // BATCH_BYTES)), max(1, -(-total // BUCKET_BYTES))
+    return max(1, -(-total // batch_bytes)), max(1, -(-total // BUCKET_BYTES))
 
 
 def batches(docs: DataFrame, n_batches: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(b long, blob binary): documents of each batch; rows without an id are in batch 0, null texts empty."""
     require(docs, id_col, text_col)
-    rows = docs.select(F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(n_batches)), F.lit(0)).alias("b"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = short_batches(docs).select(F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(n_batches)), F.lit(0)).alias("b"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)

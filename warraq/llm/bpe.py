@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warraq.llm._common import require
+from warraq.llm._common import require, short_batches
 
 #: Characters of a piece of text that is encoded in one go.
 LEAF_CHARS = 1 << 14
@@ -201,5 +201,5 @@ def round_trip_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 b.append(hashlib.sha256(e.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = short_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)

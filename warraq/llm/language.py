@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from warraq.llm._common import require
+from warraq.llm._common import require, short_batches
 
 PROFILE, TEXTS_PER_LANGUAGE, MAX_LANGUAGES = 300, 400, 1000
 UNKNOWN = "und"
@@ -126,7 +126,7 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
     named lang_pred or score are replaced; an empty table stays empty.
     """
     require(docs, text_col)
-    rest = docs.drop("lang_pred", "score")
+    rest = short_batches(docs).drop("lang_pred", "score")
     shape = "struct<lang_pred:string,score:double>"
 
     @F.pandas_udf(shape)
@@ -140,7 +140,7 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
 
 def identify_digest(docs: DataFrame, profiles: Profiles, keep: list, text_col: str = "text") -> DataFrame:
     """The given columns, lang_pred and score; texts stay in the Python worker."""
-    head = docs.select(*keep, F.col(text_col).alias("_text"))
+    head = short_batches(docs).select(*keep, F.col(text_col).alias("_text"))
     names = head.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,8 @@ from warraq.llm._exchange import QUESTIONS, Batch, Question, answered, batches,
 from warraq.llm._words import batch_words, gram_hashes
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
+#: Larger than elsewhere, as n-grams that a batch repeats are sent once.
+BATCH_BYTES = 8 << 20
 
 
 def _total(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -83,7 +85,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scores 0 with 0 words; rows that repeat an id count and are scored each; an empty table gives no rows;
     further columns are ignored.
     """
-    n_batches, n_buckets = sizes(docs)
+    n_batches, n_buckets = sizes(docs, BATCH_BYTES)
     dealt = batches(docs, n_batches, id_col, text_col).groupBy("b")
 
     def heard(part: pd.DataFrame, answers: pd.DataFrame, upto: int) -> tuple[Batch, Grams]:

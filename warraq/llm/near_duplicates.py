@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warraq.llm._common import require
+from warraq.llm._common import require, short_batches
 from warraq.llm._exchange import Batch, batches, mix, pack, sizes, unpack
 from warraq.llm._words import batch_words, gram_hashes, words_of
 from warraq.operators.components import components, cut_lineage
@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
                 yield pa.RecordBatch.from_arrays([frame.column(0).slice(first, last - first), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(count.astype(np.int64)), lists], names=["id", "k1", "k2", "n_grams", "bands"])
                 first = last
 
-    rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows_in = short_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows_in.mapInArrow(run, "id long, k1 long, k2 long, n_grams long, bands array<long>")
 
 

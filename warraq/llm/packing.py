@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warraq.llm._common import require
+from warraq.llm._common import require, short_batches
 from warraq.llm.bpe import default_tokenizer, encoder
 
 CAPACITY, OPEN_BINS, WINDOW = 1024, 65_536, 65_536
@@ -90,7 +90,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                     at += n
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["id", "piece", "start", "length", "ids_crc32"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    out = short_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type.simpleString()}, piece int, start long, length long, ids_crc32 long")
     return out.withColumnRenamed("id", id_col)
 
 
