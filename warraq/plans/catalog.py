@@ -712,7 +712,7 @@ def connected_components(spark, sf_dir):
 
 @query(
     f"WITH {TOKENS_CTE}, h AS (SELECT doc_id, section || ' ' || title || ' ' || section || '    ' || substr(body, 1, 1200) AS h FROM pas), m AS (SELECT doc_id FROM h WHERE regexp_matches(h, '(?i)license|warranty'))"
-    ", l AS (SELECT m.doc_id, greatest(count(token), 1) AS l FROM m LEFT JOIN tok USING (doc_id) GROUP BY m.doc_id) SELECT count(*) AS n_docs, round(avg(l), 6) AS avg_len FROM l"
+    ", l AS (SELECT m.doc_id, greatest(count(token), 1) AS l FROM m LEFT JOIN tok USING (doc_id) GROUP BY m.doc_id) SELECT count(*) AS n_docs, coalesce(round(avg(l), 6), 0) AS avg_len FROM l"
 )
 def category_figures(spark, sf_dir):
     p = passages.classify(index.as_passages(documents(spark, sf_dir)), LATIN_CLASSES, with_files=False)
