@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from warraq.llm._common import input_bytes, require, short_batches
 
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
+#: Text that a task holds before it packs it, so that a blob has more than a few documents.
+HELD_BYTES = 16 << 20
 #: Text bytes for each byte of a compressed columnar file, for the number of batches.
 EXPANSION = 2
 
@@ -94,19 +96,27 @@ def batches(docs: DataFrame, n_batches: int, id_col: str = "doc_id", text_col: s
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
+        held: list[tuple[int, int, bytes]] = []
+
+        def blobs() -> pa.RecordBatch:
+            by: dict[int, list[tuple[int, bytes]]] = {}
+            for b, i, raw in held:
+                by.setdefault(b, []).append((i, raw))
+            packed = [press.compress(np.array([len(part), *(i for i, _ in part), *(len(raw) for _, raw in part)], "<i8").tobytes() + b"".join(raw for _, raw in part)) for part in by.values()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int64()), pa.array(packed, pa.binary())], names=["b", "blob"])
+
+        size = 0
         for frame in frames:
-            b = frame.column(0).to_numpy(zero_copy_only=False)
-            order = np.argsort(b, kind="stable")
-            ids = frame.column(1).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            texts = frame.column(2)
-            cuts = np.flatnonzero(np.diff(b[order])) + 1
-            keys, blobs = [], []
-            for part in np.split(order, cuts) if len(order) else []:
-                raw = [(x.as_py() or "").encode("utf-8", "replace") for x in texts.take(pa.array(part))]
-                head = np.concatenate(([len(part)], ids[part], [len(x) for x in raw])).astype("<i8").tobytes()
-                keys.append(b[part[0]])
-                blobs.append(press.compress(head + b"".join(raw)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["b", "blob"])
+            for b, i, text in zip(frame.column(0).to_pylist(), frame.column(1).fill_null(np.iinfo(np.int64).min).to_pylist(), frame.column(2), strict=True):
+                raw = (text.as_py() or "").encode("utf-8", "replace")
+                held.append((b, i, raw))
+                size += len(raw)
+            if size >= HELD_BYTES:
+                yield blobs()
+                size = 0
+        if held:
+            yield blobs()
 
     return rows.mapInArrow(run, "b long, blob binary")
 
