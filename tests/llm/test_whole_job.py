@@ -65,3 +65,27 @@ def test_long_gaps_are_aligned():
         for v in a:
             row = next_row(row, v, b)
         assert passages.common_length(a, b) == row[-1]
+
+
+def test_passage_with_a_phrase_of_an_earlier_text(spark):
+    """Every stretch of 50 words that an earlier place holds lies in a passage, wherever its seeds were first seen."""
+    rng, fill = random.Random(11), some_words(12)
+    stock = [fill(rng.randrange(12, 45)) for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        parts = [rng.choice(stock) if rng.random() < 0.7 else fill(rng.randrange(1, 30)) for _ in range(8)]
+        texts.append([w for p in parts for w in p])
+    common, own = fill(25), fill(30)
+    texts = [fill(40) + common[:24] + fill(5), fill(9) + own + fill(3) + common[12:] + fill(40), *texts]
+    texts.append(fill(30) + texts[1][9:55] + texts[1][55:60] + fill(30))
+    rows = passages.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    first, missed, n = {}, [], 0
+    for i, t in enumerate(texts):
+        for y in range(len(t) - 49):
+            source = first.setdefault(tuple(t[y : y + 50]), (i, y))
+            if source[0] < i or source[1] + 50 <= y:
+                n += 1
+                if not any(r.doc_id == i and r.start_word <= y and y + 50 <= r.start_word + r.n_words for r in rows):
+                    missed.append((i, y))
+    assert n > 500 and missed == []
+    assert all(r.n_words >= 50 and r.n_matched >= 0.8 * max(r.n_words, r.source_words) for r in rows)
