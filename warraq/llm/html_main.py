@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -21,7 +22,12 @@ from warraq.llm._common import require, short_batches
 
 SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "select", "button", "head", "title", "audio", "video", "map", "math"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-CONTAINERS = {"article", "aside", "blockquote", "div", "dialog", "fieldset", "footer", "form", "header", "li", "main", "menu", "nav", "ol", "section", "table", "td", "tr", "ul", "p"}
+CONTAINERS = {"article", "aside", "blockquote", "div", "dialog", "fieldset", "footer", "form", "header", "li", "main", "menu", "nav", "ol", "section", "table", "td", "th", "tr", "ul", "p"}
+#: Blocks before which an open p ends.
+END_P = BLOCKS - {"body", "caption", "html", "legend", "option", "tbody", "td", "tfoot", "th", "thead", "tr"}
+#: Parts of a table that end an open cell, and those that end an open row.
+END_CELL = {"caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
+END_ROW = END_CELL - {"td", "th"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ASIDES = {"nav", "aside", "footer", "form", "menu", "dialog", "fieldset"}
 #: Words of class, id and role that name a part of the page that isn't the article.
@@ -51,7 +57,9 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
     blocks: list[tuple] = []
     parts: list[str] = []
     linked = in_link = off = inside = heading = 0
-    stack: list[tuple[str, bool, bool]] = []
+    # (tag, off-page, article, and where the item, cell and row are that an implied end would close, or -1)
+    stack: list[tuple[str, bool, bool, int, int, int]] = []
+    opened: Counter[str] = Counter()
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -62,6 +70,26 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
         parts.clear()
         linked = 0
 
+    def close_from(depth: int) -> None:
+        """Ends the containers from this depth on."""
+        nonlocal off, inside
+        while len(stack) > depth:
+            name, o, i, *_ = stack.pop()
+            opened[name] -= 1
+            off, inside = off - o, inside - i
+
+    def close_implied(tag: str) -> None:
+        """Ends what this start tag ends by the rules of HTML, where end tags are left out."""
+        item, cell, row = stack[-1][3:] if stack else (-1, -1, -1)
+        if tag == "li" and item >= 0:
+            close_from(item)
+        if tag in END_ROW and row >= 0:
+            close_from(row)
+        elif tag in END_CELL and cell >= 0:
+            close_from(cell)
+        if tag in END_P and stack and stack[-1][0] == "p":
+            close_from(len(stack) - 1)
+
     def add(raw: str) -> None:
         nonlocal linked
         parts.append(raw)
@@ -90,21 +118,24 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
             parts.append(" ")
         elif tag in BLOCKS:
             flush()
+            if not closing:
+                close_implied(tag)
             if tag in HEADINGS:
                 heading = 0 if closing else 1
             elif tag in CONTAINERS and not closing:
-                if tag in ("p", "li") and stack and stack[-1][0] == tag:
-                    _, o, i = stack.pop()
-                    off, inside = off - o, inside - i
                 o, i = _off_page(tag, attributes, inside > 0), tag in ("article", "main")
-                stack.append((tag, o, i))
+                item, cell, row = stack[-1][3:] if stack else (-1, -1, -1)
+                here = len(stack)
+                item = here if tag == "li" else item if tag in ("div", "p") else -1  # other containers keep an item open
+                cell, row = (-1, -1) if tag == "table" else (here if tag in ("td", "th") else cell, here if tag == "tr" else row)
+                stack.append((tag, o, i, item, cell, row))
+                opened[tag] += 1
                 off, inside = off + o, inside + i
-            elif tag in CONTAINERS and any(s[0] == tag for s in stack[-64:]):
-                while True:
-                    name, o, i = stack.pop()
-                    off, inside = off - o, inside - i
-                    if name == tag:
-                        break
+            elif tag in CONTAINERS and opened[tag]:
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    depth -= 1
+                close_from(depth)
                 in_link = 0
     flush()
     return blocks
