@@ -1,5 +1,7 @@
 """Cases in which catalogue queries once did less than the whole job."""
 
+import html
+
 from warraq.operators import expand
 from warraq.plans import catalog
 
@@ -34,3 +36,23 @@ def test_suggestions_over_all_terms(spark, monkeypatch):
     offers = sorted(n for n in near if 0 < n[0] <= 2)[:8]
     best = min((d, -terms[t], t) for d, _, t in offers)[2]
     assert not best.isascii() and [tuple(r) for r in catalog.did_you_mean(spark, SMALL).collect()] == [(1, best)]
+
+
+def marked(text, terms):
+    hit = [False] * (len(text) + 1)
+    for term in terms:
+        at = text.lower().find(term)
+        while at >= 0:
+            hit[at : at + len(term)] = [True] * len(term)
+            at = text.lower().find(term, at + len(term))
+    out = []
+    for k, ch in enumerate(text):
+        out.append(("<mark>" if hit[k] and not (k and hit[k - 1]) else "") + html.escape(ch).replace("&#x27;", "&#39;") + ("</mark>" if hit[k] and not hit[k + 1] else ""))
+    return "".join(out)
+
+
+def test_marks_in_whole_texts(spark, tmp_path):
+    texts = ["x & y <b> 'q' " * 40 + "A License for the THING, thingtion\"s end", "no word of it " * 50, "thing", "", "tion" * 100 + " & license"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r.html for r in catalog.highlight_html_whole(spark, str(tmp_path)).collect()}
+    assert found == {i: marked(t, catalog.SNIPPET_TERMS) for i, t in enumerate(texts)} and "<mark>THING</mark>" in found[0]

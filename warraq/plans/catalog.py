@@ -760,3 +760,10 @@ def highlight_html(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", F.substring(T.text("text"), 1, 300).alias("text"), F.array(*map(F.lit, SNIPPET_TERMS)).alias("terms"))
     shown = present.highlight_html(rows, "text", "terms")
     return shown.select("doc_id", F.regexp_replace("html", "</?mark>", "").alias("plain"))
+
+
+@query()
+def highlight_html_whole(spark, sf_dir):
+    """Whole texts with their marks."""
+    rows = documents(spark, sf_dir).select("doc_id", "text", F.array(*map(F.lit, SNIPPET_TERMS)).alias("terms"))
+    return present.highlight_html(rows, "text", "terms").select("doc_id", "html")
