@@ -48,10 +48,12 @@ def combine(docs: DataFrame, queries: DataFrame, bm25: DataFrame, dense: DataFra
     """(query_id, rank, id, score): weight x BM25 / its maximum + (1 - weight) x cosine; BM25 alone without vectors.
 
     Documents that score 0 take part, as in a full ranking; ties go to the earlier document.  Each task keeps
-    top_k rows of a query before the shuffle.
+    top_k rows of a query before the shuffle.  More than 1000 queries are refused, as each meets every document.
     """
+    if queries.limit(1001).count() > 1000:
+        raise ValueError("more than 1000 queries: combine them in parts")
     best = bm25.groupBy("query_id").agg(F.max("bm25").alias("top"))
-    every = docs.select(id_col).crossJoin(F.broadcast(queries.select("query_id").limit(1000)))
+    every = docs.select(id_col).crossJoin(F.broadcast(queries.select("query_id")))
     rows = every.join(bm25, ["query_id", id_col], "left").join(F.broadcast(best), "query_id", "left")
     part = F.coalesce("bm25", F.lit(0.0)) / F.when(F.coalesce("top", F.lit(0.0)) > 0, F.col("top")).otherwise(1.0)
     if dense is None:
