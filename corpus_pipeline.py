@@ -62,7 +62,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Learned profiles, MinHash links and packing have no SQL form; tests compare each stage with brute force.
+#: Learned profiles, MinHash links and packing have no SQL form; tests compare the rows of the join and of the cut with brute force.
 ORACLE_SQL = None
 
 

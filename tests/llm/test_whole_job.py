@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 
-from warraq.llm import html_main, passages
+import corpus_pipeline
+from warraq.llm import html_main, near_duplicates, passages
 
 
 def some_words(seed):
@@ -110,3 +111,41 @@ def test_implied_ends_keep_to_their_list_and_table():
     assert off("<ul><li class=menu>a<ul><li>b<li>c</ul>d<li>e</ul>f") == {"a": 1, "b": 1, "c": 1, "d": 1, "e": 0, "f": 0}
     assert off("<table><tr class=ad><td>a<table><tr><td>b<tr><td>c</table>d<td>e<tr><td>f</table>g") == {"a": 1, "b": 1, "c": 1, "d": 1, "e": 1, "f": 0, "g": 0}
     assert off("<p class=share>a<div>b</div>c<p>d</p>e") == {"a": 1, "b": 0, "c": 0, "d": 0, "e": 0}
+
+
+# pipeline
+
+
+def test_rows_of_the_join_and_of_the_cut(spark):
+    rng, fill = random.Random(21), some_words(22)
+    texts = [fill(rng.randrange(60, 120)) for _ in range(12)]
+    for _ in range(24):
+        t = list(rng.choice(texts))
+        for _ in range(rng.choice([0, 1, 1, 12])):
+            t[rng.randrange(len(t))] = fill(1)[0]
+        texts.append(t if rng.random() < 0.7 else fill(20) + t[:40] + fill(20))
+    rows = [(i, " ".join(t), "en", "s", len(" ".join(t))) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    n = near_duplicates.WORDS
+    sets = [{tuple(t[k : k + n]) for k in range(len(t) - n + 1)} for t in texts]
+    head = list(range(len(texts)))
+    for _ in texts:  # until no link lowers a class
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if len(a & b) >= near_duplicates.THRESHOLD * len(a | b):
+                    head[i] = min(head[i], head[j])
+    joined = corpus_pipeline.near_duplicate_join(spark, docs, "")
+    expected = [r for r in rows if head[r[0]] == r[0]]
+    assert sorted(map(tuple, joined.collect())) == expected and len(expected) < len(rows)
+    seen, left = set(), []
+    for i, t, *rest in expected:
+        hit = np.zeros(len(t), bool)
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                hit[k : k + 100] = True
+            seen.add(t[k : k + 100])
+        kept = "".join(ch for ch, cut in zip(t, hit, strict=True) if not cut)
+        if kept:
+            left.append((i, kept, *rest[:2], len(kept)))
+    found = sorted(map(tuple, corpus_pipeline.repeated_substrings(spark, spark.createDataFrame(expected, docs.schema), "").collect()))
+    assert found == left and found != expected
