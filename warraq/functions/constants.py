@@ -17,6 +17,10 @@ FOLD_FROM = "أإآٱىئؤةگکچپژڤی٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷
 FOLD_TO = "ااااييوهككجبزفي01234567890123456789"
 HIGHLIGHT_FROM = "أإآٱىئؤةگکچپژی٠١٢٣٤٥٦٧٨٩ء"
 HIGHLIGHT_TO = "ااااييوهككجبزي0123456789"
+NAME_FROM = "أإآةى"
+NAME_TO = "اااهي"
+PLACE_FROM = "إأآىة"
+PLACE_TO = "ااايه"
 
 # Marks that are dropped, and punctuation that separates words in queries.
 MARKS = "ؐ-ًؚ-ٰٟۖ-ۭ࣓-ࣣ࣡-ࣿـ"

@@ -105,7 +105,7 @@ CANDIDATES_CTE = (
     ", cand AS (SELECT query_id, term, quality, grp FROM (SELECT *, row_number() OVER (PARTITION BY query_id, term ORDER BY quality DESC, grp NULLS LAST, seq) AS k FROM offers) WHERE k = 1)"
 )
 BM25_CTE = (
-    CANDIDATES_CTE + ", sc AS (SELECT query_id, doc_id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * quality * (wtf * 2.2 / (wtf + 1.2 * (0.4 + 0.6 * (l / avg_len))))) AS score, count(DISTINCT grp) AS groups, list_sort(list(DISTINCT term)) AS terms "
+    CANDIDATES_CTE + ", sc AS (SELECT query_id, doc_id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * quality * (wtf * 2.2 / (wtf + 1.2 * (0.4 + 0.6 * (l / avg_len)))) ORDER BY encode(term)) AS score, count(DISTINCT grp) AS groups, list_sort(list(DISTINCT term)) AS terms "
     "FROM cand JOIN dict USING (term) CROSS JOIN fig JOIN post USING (term) JOIN len USING (doc_id) GROUP BY query_id, doc_id)"
 )
 BOOST_CTE = (
