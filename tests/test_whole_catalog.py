@@ -28,7 +28,7 @@ def test_fuzzy_offers_over_all_terms(spark):
         budget = 0 if len(r.token) <= 3 else 1 if len(r.token) <= 5 else 2
         near = [(distance(r.token, t), len(t), t) for t in terms if t[0] == r.token[0] and abs(len(t) - len(r.token)) <= budget and len(t) >= 2]
         expected += [(r.query_id, r.pos, r.token, t, d) for d, _, t in sorted(n for n in near if 0 < n[0] <= budget)[:8]]
-    found = sorted(map(tuple, catalog.expand_fuzzy_all_terms(spark, SMALL).collect()))
+    found = sorted(map(tuple, catalog.expand_fuzzy(spark, SMALL).collect()))
     assert found == sorted(expected) and any(not r[3].isascii() for r in found)
 
 
@@ -57,7 +57,7 @@ def marked(text, terms):
 def test_marks_in_whole_texts(spark, tmp_path):
     texts = ["x & y <b> 'q' " * 40 + "A License for the THING, thingtion\"s end", "no word of it " * 50, "thing", "", "tion" * 100 + " & license"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    found = {r.doc_id: r.html for r in catalog.highlight_html_whole(spark, str(tmp_path)).collect()}
+    found = {r.doc_id: r.html for r in catalog.highlight_html(spark, str(tmp_path)).collect()}
     assert found == {i: marked(t, catalog.SNIPPET_TERMS) for i, t in enumerate(texts)} and "<mark>THING</mark>" in found[0]
 
 

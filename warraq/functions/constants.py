@@ -64,3 +64,26 @@ SUFFIXES = (".html", ".htm", ".json", ".jsonld", ".pdf", ".docx", ".txt", ".md",
 SKIPPED_FOLDERS = (".git", ".netlify", "node_modules", "test-results", "__pycache__")
 GENERATED_FILES = ("search-index.json", "semantic-graph.json", "heritage.idx", "ontology.idx", "genealogy.idx", "books.idx", "articles.idx")
 INDEX_VERSION = "3.0.0"
+
+# The network of concepts as (names of the concept, names of what is near it).
+CONCEPTS = {
+    "khamis": (["مسجد الخميس", "جامع الخميس", "الخميس", "khamis mosque"], ["بلاد القديم", "عمر بن عبد العزيز", "نقش المنارة", "الوقفية", "مونيك كيرفران", "البعثة الفرنسية", "المنارتان"]),
+    "dilmun": (["دلمون", "تايلوس", "أوال", "اوال", "البحرين القديمة", "dilmun", "tylos", "awal"], ["تلال المدافن", "عالي", "قلعة البحرين", "اليونسكو", "التراث العالمي", "الألف الثالث"]),
+    "burial-mounds": (["تلال مدافن دلمون", "تلال المدافن", "مدافن عالي", "burial mounds"], ["عالي", "اليونسكو", "1750 ق م", "2050 ق م", "حجر ديوراند", "التنقيبات"]),
+    "uyunid": (["العيونيون", "الدولة العيونية", "العيوني", "بنو عيون", "uyunid", "uyunids"], ["عبد الله بن علي العيوني", "ابن المقرب", "القرامطة", "469هـ", "636هـ", "المديرس", "أبو البهلول", "الأحساء", "القطيف"]),
+    "ibn-muqarrab": (["ابن المقرب", "ابن المقرب العيوني", "ديوان ابن المقرب", "شرح ديوان ابن المقرب"], ["780هـ", "الدولة العيونية", "وقفية البديع", "الشراع", "فضل بن فاضل"]),
+    "abdulqais": (["عبد القيس", "عبدالقيس", "بنو عبد القيس", "abd al-qays"], ["جواثى", "هجر", "تهامة", "الردة", "الوفود", "ربيعة", "المنذر بن ساوى"]),
+    "samahij": (["سماهيج", "ميشماهيج", "سماهيچ", "samahij", "mashmahig"], ["كنيسة المشرق", "الوجود المسيحي", "تيموثي إنسول", "سلمان المحاري", "جامعة إكستر", "الأنصاري", "2024"]),
+    "ansari": (["عبد الله بن محمود الأنصاري", "الأنصاري السماهيجي", "الأنصاري المالكي"], ["المذهب المالكي", "سماهيج", "الروض الزاهر", "سليمان المهري", "943هـ"]),
+    "zubarah": (["الزبارة", "قلعة صبحا", "قلعة مرير", "zubarah"], ["آل خليفة", "أحمد الفاتح", "1762", "1783", "فتح البحرين", "الرفاع", "قطر"]),
+    "alkhalifa": (["آل خليفة", "ال خليفة", "أحمد الفاتح", "al khalifa"], ["الزبارة", "قلعة الرفاع", "1783", "وثيقة العهد والبيعة", "لوريمر"]),
+    "manuscripts": (["المخطوطات", "مخطوط", "مخطوطة", "فهرس المخطوطات", "manuscript", "manuscripts"], ["الناسخ", "النسخة", "الحماسة", "الفوائد", "القويصل", "العُدة", "الروض الزاهر", "التحقيق", "الوقفية"]),
+    "ibn-majid": (["أحمد بن ماجد", "ابن ماجد", "الفوائد", "ibn majid"], ["895هـ", "أوال", "البحرين", "الملاحة", "البحار"]),
+    "ansab": (["الأنساب", "سطور الأنساب", "شجرة العائلة", "النسب", "مشجرة", "genealogy", "family tree"], ["العبدلي الرفاعي", "السبطين", "الزبدة", "العُدة", "القبيلة", "الأجيال"]),
+    "abdali": (["العبدلي الرفاعي", "علي أبو الحسن العبدلي", "السيد ماجد العبدلي"], ["848هـ", "نقيب البحرين", "الزبدة", "العُدة", "السبطين", "الأنساب"]),
+    "qalat": (["قلعة البحرين", "قلعة الرفاع", "قلعة عراد", "fort", "qalat al-bahrain"], ["البعثة الفرنسية", "1977", "1979", "التنقيب", "الحصن"]),
+    "inscriptions": (["النقوش", "نقش", "النقش", "inscription", "inscriptions"], ["المنارة", "724هـ", "الوقفية", "776هـ", "متحف البحرين", "الشاهد المؤرَّخ"]),
+    "archive": (["اسأل الأرشيف", "الأرشيف الموثق", "الأرشيف", "archive"], ["البحث", "المصادر", "المراجع", "قاعدة البيانات", "التوثيق"]),
+    "timeline": (["الخط الزمني", "الخطّ الزمني", "العصور", "timeline"], ["الأحداث", "التأريخ", "الحقبة", "العصر"]),
+    "library": (["المكتبة الأكاديمية", "المكتبة", "الأبحاث", "library"], ["الدوريات", "الرسائل الجامعية", "المحكّمة", "الاستشهاد"]),
+}

@@ -6,9 +6,10 @@ position or null for concepts, seq the order in which equal offers win.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from warraq.functions import constants as C
 from warraq.functions import text as T
 
 PREFIX_LIMIT, CONCEPT_PREFIX_LIMIT, FUZZY_LIMIT = 12, 4, 8
@@ -99,12 +100,22 @@ def concept_offers(queries: DataFrame, concepts: DataFrame, terms: DataFrame) ->
 
 
 def merge(*branches: DataFrame) -> DataFrame:
-    """(query_id, term, quality, grp): the best offer; equal offers go to the earlier token, then the earlier branch."""
+    """(query_id, term, quality, grp, came): the best offer; equal offers go to the earlier token, then the earlier branch.
+
+    came: the order in which terms first arrive, by token (concepts last), branch and term.
+    """
     every = branches[0]
     for b in branches[1:]:
         every = every.union(b)
     order = Window.partitionBy("query_id", "term").orderBy(F.desc("quality"), F.col("grp").asc_nulls_last(), "seq")
-    return every.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("query_id", "term", "quality", "grp")
+    first = F.min(F.struct(F.coalesce("grp", F.lit((1 << 31) - 1)).alias("token"), "seq", "term")).over(Window.partitionBy("query_id", "term"))
+    return every.withColumn("_n", F.row_number().over(order)).withColumn("came", first).filter("_n = 1").select("query_id", "term", "quality", "grp", "came")
+
+
+def built_in_concepts(spark: SparkSession) -> DataFrame:
+    """(id, term, kind) of the network of concepts that every archive starts with."""
+    rows = [(name, word, kind) for name, named in C.CONCEPTS.items() for kind, words in zip(("term", "related"), named, strict=True) for word in words]
+    return spark.createDataFrame(rows, "id string, term string, kind string")
 
 
 def candidates(queries: DataFrame, terms: DataFrame, stem_map: DataFrame, concepts: DataFrame | None = None) -> DataFrame:

@@ -26,7 +26,8 @@ def okapi(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
     weighted = asked.join(raw, "token").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")))
     hits = weighted.join(counts, "token").join(sizes, id_col)
     value = F.col("times") * F.col("idf") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("all") / F.col("n")))))
-    return hits.groupBy("query_id", id_col).agg(F.sum(value).alias("bm25"))
+    parts = hits.groupBy("query_id", id_col).agg(F.sort_array(F.collect_list(F.struct("token", value.alias("x")))).alias("parts"))  # added in one order
+    return parts.select("query_id", id_col, F.aggregate("parts", F.lit(0.0), lambda total, p: total + p.x).alias("bm25"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,18 +48,26 @@ def cosine(vectors: DataFrame, query_vectors: DataFrame, id_col: str = "vec_id",
 def combine(docs: DataFrame, queries: DataFrame, bm25: DataFrame, dense: DataFrame | None, id_col: str = "doc_id", top_k: int = 10, weight: float = 0.5) -> DataFrame:
     """(query_id, rank, id, score): weight x BM25 / its maximum + (1 - weight) x cosine; BM25 alone without vectors.
 
-    Documents that score 0 take part, as in a full ranking; ties go to the earlier document.  Each task keeps
-    top_k rows of a query before the shuffle.  More than 1000 queries are refused, as each meets every document.
+    Documents without a score count as 0, as in a full ranking; ties go to the earlier document.  Only scored
+    documents are ranked, and where a query has fewer than top_k above 0 it gets the first unscored ones, so no
+    document meets every query.  More than 1000 queries are refused.
     """
     if queries.limit(1001).count() > 1000:
         raise ValueError("more than 1000 queries: combine them in parts")
-    best = bm25.groupBy("query_id").agg(F.max("bm25").alias("top"))
-    every = docs.select(id_col).crossJoin(F.broadcast(queries.select("query_id")))
-    rows = every.join(bm25, ["query_id", id_col], "left").join(F.broadcast(best), "query_id", "left")
-    part = F.coalesce("bm25", F.lit(0.0)) / F.when(F.coalesce("top", F.lit(0.0)) > 0, F.col("top")).otherwise(1.0)
-    if dense is None:
-        rows = rows.withColumn("score", part)
-    else:
-        rows = rows.join(dense, ["query_id", id_col], "left").withColumn("score", weight * part + (1 - weight) * F.coalesce("cosine", F.lit(0.0)))
+    top = F.max("bm25").over(Window.partitionBy("query_id"))
+    part = bm25.select("query_id", id_col, (F.col("bm25") / F.when(top > 0, top).otherwise(1.0)).alias("score"))
+    if dense is not None:
+        both = part.join(dense, ["query_id", id_col], "full")
+        part = both.select("query_id", id_col, (weight * F.coalesce("score", F.lit(0.0)) + (1 - weight) * F.coalesce("cosine", F.lit(0.0))).alias("score"))
+    asked = queries.select("query_id").distinct()
+    part = part.join(docs.select(id_col), id_col, "left_semi").join(F.broadcast(asked), "query_id", "left_semi")  # at most 1000 rows
+    figures = asked.join(part, "query_id", "left").groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("good"), F.count("score").alias("scored"))
+    short = figures.filter(F.col("good") < top_k)
+    most = short.agg(F.max("scored")).first()[0]
+    rows = part
+    if most is not None:
+        first = docs.select(id_col).orderBy(id_col).limit(top_k + most)  # holds top_k unscored ones for each of these queries
+        rest = first.crossJoin(F.broadcast(short.select("query_id"))).join(part, ["query_id", id_col], "left_anti")
+        rows = part.unionByName(rest.withColumn("score", F.lit(0.0)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).select("query_id", "rank", id_col, "score")

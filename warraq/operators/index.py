@@ -12,6 +12,8 @@ from warraq.functions import text as T
 from warraq.operators.components import cut_lineage
 
 FIELDS = tuple(C.FIELD_WEIGHTS)
+#: Tasks that the postings of one term are dealt over when they are saved.
+SPREAD = 16
 PASSAGE_COLUMNS = ("title", "section", "type", "url", "desc", "heading", "keywords", "alt", "body", "img", "updated", "source")
 
 
@@ -34,13 +36,13 @@ def field_tokens(passages: DataFrame, compose: bool = False) -> DataFrame:
 
 
 def postings(tokens: DataFrame) -> DataFrame:
-    """(term, doc_id, wtf): the sum of field weights, rounded to two places."""
-    return tokens.groupBy("doc_id", F.col("token").alias("term")).agg(F.round(F.sum("weight"), 2).alias("wtf"))
+    """(doc_id, term, wtf, n): the sum of field weights, rounded to two places, and how often the term is there."""
+    return tokens.groupBy("doc_id", F.col("token").alias("term")).agg(F.round(F.sum("weight"), 2).alias("wtf"), F.count("*").alias("n"))
 
 
-def lengths(passages: DataFrame, tokens: DataFrame) -> DataFrame:
+def lengths(passages: DataFrame, posted: DataFrame) -> DataFrame:
     """(doc_id, l): unweighted tokens, one at least."""
-    counted = tokens.groupBy("doc_id").agg(F.count("*").alias("n"))
+    counted = posted.groupBy("doc_id").agg(F.sum("n").alias("n"))
     return passages.select("doc_id").join(counted, "doc_id", "left").select("doc_id", F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)).alias("l"))
 
 
@@ -68,12 +70,19 @@ def section_counts(passages: DataFrame) -> DataFrame:
     return passages.groupBy("section").agg(F.count("*").alias("n"))
 
 
-def stored_documents(passages: DataFrame, doc_lengths: DataFrame) -> DataFrame:
-    """What ranking and display need of a passage: i, t, s, y, u, d, b, g, n, r, m, l."""
+def epoch_ms(date: Column) -> Column:
+    """Milliseconds since 1970 of an ISO date or time, in UTC where it names no zone; 0 for anything else."""
+    whole = F.when(date.rlike(r"^\d{4}$"), F.concat(date, F.lit("-01-01"))).when(date.rlike(r"^\d{4}-\d\d$"), F.concat(date, F.lit("-01"))).otherwise(date)
+    zoned = F.when(whole.rlike(r"[Tt ].*(Z|[+-]\d\d:?\d\d)$"), whole).when(whole.rlike(r"\d[Tt ]\d"), F.concat(whole, F.lit("Z"))).otherwise(F.concat(whole, F.lit("T00:00:00Z")))
+    return F.coalesce(F.when(date.rlike(r"^\d{4}"), F.unix_millis(F.try_to_timestamp(zoned))), F.lit(0))
+
+
+def stored_documents(passages: DataFrame, doc_lengths: DataFrame, compose: bool = False) -> DataFrame:
+    """What ranking and display need of a passage: i, t, s, y, u, d, b, g, n, nt, r, m, l (n and nt: normalized)."""
     joined = F.concat_ws(" ", *(T.text(c) for c in ("title", "section", "keywords", "heading", "desc", "body")))
     return passages.join(doc_lengths, "doc_id").select(
         F.col("doc_id").alias("i"), F.col("title").alias("t"), F.col("section").alias("s"), F.col("type").alias("y"), F.col("url").alias("u"), F.col("desc").alias("d"),
-        F.substring("body", 1, C.STORED_BODY).alias("b"), F.col("img").alias("g"), F.substring(T.normalize_index(joined), 1, C.STORED_TEXT).alias("n"), F.col("rank").alias("r"), F.lit(0).cast("long").alias("m"), "l",
+        F.substring("body", 1, C.STORED_BODY).alias("b"), F.col("img").alias("g"), F.substring(T.normalize_index(joined, compose), 1, C.STORED_TEXT).alias("n"), T.normalize_query("title", compose).alias("nt"), F.col("rank").alias("r"), epoch_ms(T.text("updated")).alias("m"), "l",
     )
 
 
@@ -90,30 +99,52 @@ class Index:
 
     @classmethod
     def build(cls, passages: DataFrame, compose: bool = False) -> Index:
-        tokens = field_tokens(passages, compose)
-        posted, sized = postings(tokens), lengths(passages, tokens)
-        terms = dictionary(posted)
-        return cls(stored_documents(passages, sized), posted, terms, stem_map(terms), corpus_figures(sized), section_counts(passages))
+        return cls.around(passages, postings(field_tokens(passages, compose)), compose)
 
-    def save(self, folder: str) -> None:
-        """Postings are clustered by term, so a query's terms skip most row groups."""
+    @classmethod
+    def around(cls, passages: DataFrame, posted: DataFrame, compose: bool) -> Index:
+        """The tables that follow from the postings: texts are read once for these and once to store them."""
+        terms, sized = dictionary(posted), lengths(passages, posted)
+        return cls(stored_documents(passages, sized, compose), posted, terms, stem_map(terms), corpus_figures(sized), section_counts(passages))
+
+    @classmethod
+    def create(cls, passages: DataFrame, folder: str, compose: bool = False) -> Index:
+        """Builds and saves an index: postings first, all else from the saved ones."""
+        cls._write_postings(postings(field_tokens(passages, compose)), folder)
+        cls.around(passages, passages.sparkSession.read.parquet(f"{folder}/postings"), compose)._write_rest(folder)
+        return cls.load(passages.sparkSession, folder)
+
+    @staticmethod
+    def _write_postings(posted: DataFrame, folder: str) -> None:
+        """Clustered by term, so a query's terms skip most row groups; a frequent term is dealt over SPREAD tasks."""
+        spread = posted.repartition(F.col("term"), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)))
+        spread.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
+
+    def _write_rest(self, folder: str) -> None:
         for name, table in vars(self).items():
-            out = table.repartitionByRange("term").sortWithinPartitions("term", "doc_id") if name == "postings" else table
-            out.write.mode("overwrite").parquet(f"{folder}/{name}")
+            if name != "postings":
+                table.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+    def save(self, folder: str) -> None:
+        self._write_postings(self.postings, folder)
+        self._write_rest(folder)
 
     @classmethod
     def load(cls, spark, folder: str) -> Index:
-        """A saved index; one without its columns is refused."""
+        """A saved index; one without its columns, or with documents and no postings, is refused."""
         tables = {name: spark.read.parquet(f"{folder}/{name}") for name in cls.__dataclass_fields__}
-        for name, needed in (("documents", {"i", "t", "n", "l"}), ("postings", {"term", "doc_id", "wtf"}), ("terms", {"term", "df"})):
+        for name, needed in (("documents", {"i", "t", "n", "nt", "l"}), ("postings", {"term", "doc_id", "wtf"}), ("terms", {"term", "df"})):
             if not needed <= set(tables[name].columns):
                 raise ValueError(f"not an index: {name} lacks {sorted(needed - set(tables[name].columns))}")
+        if tables["postings"].isEmpty() and not tables["documents"].isEmpty():
+            raise ValueError("not an index: it has documents and no postings")
         return cls(**tables)
 
 
-def category_index(passages: DataFrame, category: str) -> Index:
-    """An index of one category with its own figures and dense ids in the order of the master's."""
-    return Index.build(dense_ids(passages.filter(F.array_contains("categories", category)), ["doc_id"], "doc_id"))
+def category_index(passages: DataFrame, category: str, folder: str | None = None, compose: bool = False) -> Index:
+    """An index of one category with its own figures and dense ids in the order of the master's, saved where a folder is given."""
+    own = dense_ids(passages.filter(F.array_contains("categories", category)), ["doc_id"], "doc_id")
+    return Index.create(own, folder, compose) if folder else Index.build(own, compose)
 
 
 def dense_ids(df: DataFrame, order: list[str], out: str, first: int = 0) -> DataFrame:

@@ -36,16 +36,16 @@ def chunks(text: Column, limit: int = C.PASSAGE_CHARS) -> Column:
 def make_passages(sections: DataFrame, limit: int = C.PASSAGE_CHARS) -> DataFrame:
     """A row for each chunk of body; its title is the heading or title, numbered from the second chunk on.
 
-    sections: title, section, type, url, body, and optionally desc, heading, keywords, alt, img, rank, source;
+    sections: title, section, type, url, body, and optionally desc, heading, keywords, alt, img, updated, rank, source;
     other columns pass.
     """
     have = set(sections.columns)
-    for name in ("desc", "heading", "keywords", "alt", "img", "source"):
+    for name in ("desc", "heading", "keywords", "alt", "img", "updated", "source"):
         if name not in have:
             sections = sections.withColumn(name, F.lit(""))
     if "rank" not in have:
         sections = sections.withColumn("rank", F.lit(1.0))
-    own = ("title", "section", "type", "url", "body", "desc", "heading", "keywords", "alt", "img", "source", "rank")
+    own = ("title", "section", "type", "url", "body", "desc", "heading", "keywords", "alt", "img", "updated", "source", "rank")
     rest = [c for c in sections.columns if c not in (*own, "passage_no")]
     rows = sections.select(*rest, *own, F.posexplode(chunks(F.col("body"), limit)).alias("passage_no", "passage"))
     name = F.when(T.text("heading") != "", F.col("heading")).otherwise(F.col("title"))
@@ -54,7 +54,7 @@ def make_passages(sections: DataFrame, limit: int = C.PASSAGE_CHARS) -> DataFram
     return rows.select(
         *rest, "passage_no", T.clean_text(name).alias("title"), T.clean_text(first("section", T.text("title"))).alias("section"), T.text("type").alias("type"), T.text("url").alias("url"),
         T.clean_text(first("desc", F.substring("passage", 1, C.DESC_CHARS))).alias("desc"), T.clean_text("heading").alias("heading"), T.clean_text("keywords").alias("keywords"),
-        T.clean_text("alt").alias("alt"), F.substring("passage", 1, C.BODY_CHARS).alias("body"), T.text("img").alias("img"), T.text("source").alias("source"), "rank",
+        T.clean_text("alt").alias("alt"), F.substring("passage", 1, C.BODY_CHARS).alias("body"), T.text("img").alias("img"), T.text("updated").alias("updated"), T.text("source").alias("source"), "rank",
     )
 
 

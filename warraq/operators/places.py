@@ -27,22 +27,20 @@ def bounding_box(places: DataFrame, *keys: str) -> DataFrame:
     return places.groupBy(*keys).agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lng").alias("west"), F.max("lng").alias("east"))
 
 
-def tree_counts(nodes: DataFrame, most_levels: int = 10_000) -> DataFrame:
+def tree_counts(nodes: DataFrame) -> DataFrame:
     """(root, n): people with a name in each tree of (node_id, parent_id, name); a root has no parent.
 
-    Level by level; a node moves on with the root of its parent, so each row is joined once.
+    Level by level to the deepest one; a node moves on with the root of its parent, so each row is joined once, and
+    each level is written to the checkpoint folder, so none is worked out twice.
     """
     from warraq.operators.components import cut_lineage
 
     named = (T.strip(T.text("name")) != "").cast("long")
-    level = nodes.filter("parent_id IS NULL").select("node_id", F.col("node_id").alias("root"), named.alias("n"))
+    level = cut_lineage(nodes.filter("parent_id IS NULL").select("node_id", F.col("node_id").alias("root"), named.alias("n")))
     done = level
-    for depth in range(most_levels):
-        level = nodes.alias("c").join(level.select(F.col("node_id").alias("parent_id"), "root"), "parent_id").select("node_id", "root", named.alias("n"))
-        if depth % 4 == 3:
-            level = cut_lineage(level)
-        if level.isEmpty():
-            break
+    while not level.isEmpty():
+        parents = level.select(F.col("node_id").alias("parent_id"), "root")
+        level = cut_lineage(nodes.join(parents, "parent_id").select("node_id", "root", named.alias("n")))
         done = done.union(level)
     return done.groupBy("root").agg(F.sum("n").alias("n"))
 

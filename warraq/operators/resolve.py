@@ -37,18 +37,22 @@ def prepare(people: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
-    """Distinct (i, j) of prepared people that share a network member, a kunya, or a geography and near years.
+    """Distinct (i, j) of prepared people that share a network member, or two of kunya, geography and near years.
 
-    ordered: only i < j, for one table against itself.  A geography joins on five-year buckets as well, so a
-    place that a third of all people share is spread over years.
+    A pair without a common network member needs two of these for 55 points (name and kunya are 45), so none is a
+    key by itself.
+
+    ordered: only i < j, for one table against itself.
     """
     def keys(df: DataFrame, spread: bool) -> DataFrame:
         network = df.select("idx", F.explode(F.transform("network", lambda v: F.concat(F.lit("n:"), v))).alias("key"))
-        kunya = df.filter("kunya IS NOT NULL").select("idx", F.concat(F.lit("k:"), "kunya").alias("key"))
-        bucket = F.floor(F.col("year") / (YEARS + 1))
-        near = F.sequence(bucket - 1, bucket + 1) if spread else F.array(bucket)
-        placed = df.filter("year IS NOT NULL").select("idx", F.explode("geo").alias("g"), near.alias("near")).select("idx", F.explode(F.transform("near", lambda y: F.concat(F.lit("g:"), F.col("g"), F.lit(":"), y.cast("string")))).alias("key"))
-        return network.union(kunya).union(placed)
+        years = F.transform(F.sequence(F.lit(-1), F.lit(1)) if spread else F.array(F.lit(0)), lambda d: F.concat(F.lit("y:"), (F.floor(F.col("year") / (YEARS + 1)) + d).cast("string")))
+        of = {"k": F.when(F.col("kunya").isNotNull(), F.array(F.col("kunya"))), "g": F.col("geo"), "y": F.when(F.col("year").isNotNull(), years)}
+        out = network
+        for a, b in (("k", "g"), ("k", "y"), ("g", "y")):
+            two = df.select("idx", F.explode(of[a]).alias("a"), of[b].alias("bs")).select("idx", "a", F.explode("bs").alias("b"))
+            out = out.union(two.select("idx", F.concat(F.lit(f"{a}{b}:"), "a", F.lit("|"), "b").alias("key")))
+        return out
 
     pairs = keys(left, True).select(F.col("idx").alias("i"), "key").join(keys(right, False).select(F.col("idx").alias("j"), "key"), "key")
     return pairs.filter("i < j" if ordered else "true").select("i", "j").distinct()
@@ -115,14 +119,15 @@ def match_known(people: DataFrame, known: DataFrame, threshold: int = MERGE) ->
     """(idx, person_id, points): the best known person at or above the threshold, ties to the smallest id.
 
     known: person_id, canonical_name, kunya, geographical_scope.  Stored persons have neither year nor network,
-    so only name, kunya and geography count and a pair of 55 points or less needs an equal kunya.
+    so only name, kunya and geography count: a pair above 45 points needs an equal kunya and a common geography.
     """
     ready = prepare(people)
     none = F.array().cast("array<string>")
     stored = prepare(known.select(F.col("person_id").alias("idx"), "canonical_name", "kunya", F.lit(None).cast("string").alias("death_year_mentioned"), split_scope(F.col("geographical_scope")).alias("geographical_mentions"), none.alias("teachers"), none.alias("students")))
     if threshold <= NAME + GEOGRAPHY:
         raise ValueError("thresholds up to 40 points would need every pair")
-    pairs = ready.filter("kunya IS NOT NULL").select(F.col("idx").alias("i"), "kunya").join(stored.select(F.col("idx").alias("j"), "kunya"), "kunya").select("i", "j")
+    keyed = lambda df, name: df.filter("kunya IS NOT NULL").select(F.col("idx").alias(name), "kunya", *([F.explode("geo").alias("g")] if threshold > NAME + KUNYA else []))
+    pairs = keyed(ready, "i").join(keyed(stored, "j"), ["kunya", "g"] if threshold > NAME + KUNYA else ["kunya"]).select("i", "j").distinct()
     order = Window.partitionBy("i").orderBy(F.desc("points"), "j")
     best = score_pairs(pairs, ready, stored).withColumn("_n", F.row_number().over(order)).filter((F.col("_n") == 1) & (F.col("points") >= threshold))
     return best.select(F.col("i").alias("idx"), F.col("j").alias("person_id"), "points")

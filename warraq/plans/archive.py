@@ -26,12 +26,12 @@ def build(spark: SparkSession, root: str, out: str) -> DataFrame:
     passages, triples, counts = files.collect(spark, root)
     passages.write.mode("overwrite").parquet(f"{out}/passages")
     passages = spark.read.parquet(f"{out}/passages")
-    Index.build(passages, compose=True).save(f"{out}/{MASTER}")
+    Index.create(passages, f"{out}/{MASTER}", compose=True)
     nodes, edges = graph.build_graph(passages, triples)
     nodes.write.mode("overwrite").parquet(f"{out}/graph/nodes")
     edges.write.mode("overwrite").parquet(f"{out}/graph/edges")
     for category in CATEGORIES:
-        category_index(passages, category).save(f"{out}/{category}")
+        category_index(passages, category, f"{out}/{category}", compose=True)
     made = spark.createDataFrame([(C.INDEX_VERSION, int(time.time() * 1000))], "v string, built long")
     made.write.mode("overwrite").parquet(f"{out}/made")
     return counts
@@ -62,7 +62,7 @@ class Response:
 
 @dataclass
 class Archive:
-    """An index that answers batches of queries (query_id, q)."""
+    """An index that answers batches of queries (query_id, q); without concepts of its own it has the built-in ones."""
 
     index: Index
     concepts: DataFrame | None = None
@@ -73,15 +73,20 @@ class Archive:
 
     def extend(self, concepts: DataFrame) -> Archive:
         """The archive with more concepts (id, term, kind)."""
-        return Archive(self.index, concepts if self.concepts is None else self.concepts.unionByName(concepts))
+        return Archive(self.index, self.known_concepts().unionByName(concepts))
+
+    def known_concepts(self) -> DataFrame:
+        return expand.built_in_concepts(self.index.terms.sparkSession) if self.concepts is None else self.concepts
 
     def search(self, queries: DataFrame, limit: int = rank.DEFAULT_LIMIT, now_ms: int = 0, section: str | None = None, type_: str | None = None) -> Response:
-        found = expand.candidates(queries, self.index.terms, self.index.stems, self.concepts)
+        queries = queries.withColumn("q", T.nfkc(T.text("q")))  # as what is indexed
+        found = expand.candidates(queries, self.index.terms, self.index.stems, self.known_concepts())
         hits, totals, facets = rank.search(queries, self.index, found, limit, now_ms, section, type_)
         marked = present.display_terms(found, hits)
         text = present.snippet(T.text("b"), T.text("d"), F.col("terms"), F.col("nq"))
         shown = hits.withColumn("snippet", text).drop("b", "d", "nq", "terms").join(marked, ["query_id", "doc_id"], "left")
-        good = found.filter("quality >= 0.6").groupBy("query_id").agg(F.slice(F.sort_array(F.collect_set("term")), 1, 20).alias("terms"))
+        in_order = F.sort_array(F.collect_list("came"))
+        good = found.filter("quality >= 0.6").groupBy("query_id").agg(F.transform(F.slice(in_order, 1, 20), lambda c: c.term).alias("terms"))
         without = queries.join(totals, "query_id", "left_anti")
         return Response(shown, totals, facets, good, present.suggestions(without, self.index.terms))
 

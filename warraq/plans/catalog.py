@@ -5,6 +5,8 @@ The tables hold no Arabic text, so letter folds and marks are left out of the SQ
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,8 +102,32 @@ STEMS_SQL = (
     f"SELECT query_id, term, 0.72::DOUBLE AS quality, pos AS grp, 2 AS seq FROM qt JOIN dict ON dict.term = {sql_stem_query('token')} WHERE {sql_stem_query('token')} <> token "
     f"UNION ALL SELECT query_id, term, 0.7::DOUBLE, pos, 3 FROM (SELECT query_id, pos, token AS stem FROM qt UNION SELECT query_id, pos, {sql_stem_query('token')} FROM qt) JOIN stm USING (stem)"
 )
+CONCEPTS = [("law", "public license", "term"), ("law", "license", "term"), ("law", "warranty", "related"), ("law", "software", "related"), ("thing", "thing", "term"), ("thing", "tion", "related")]
+CONCEPTS_CTE = (
+    "con(id, term, kind) AS (VALUES " + ", ".join(map(str, CONCEPTS)) + ")"
+    ", keys AS (SELECT id, term AS key FROM con WHERE kind = 'term' UNION SELECT id, unnest(list_filter(string_split(term, ' '), lambda w: length(w) > 2)) FROM con WHERE kind = 'term' AND contains(term, ' '))"
+    ", named AS (SELECT DISTINCT query_id, id FROM (SELECT query_id, nq AS key FROM qn UNION SELECT query_id, unnest(string_split(nq, ' ')) FROM qn) JOIN keys USING (key))"
+    ", cw AS (SELECT query_id, w AS term, max(weight) AS weight FROM (SELECT query_id, unnest(string_split(term, ' ')) AS w, CASE kind WHEN 'term' THEN 0.85::DOUBLE ELSE 0.45 END AS weight FROM named JOIN con USING (id)) GROUP BY ALL)"
+)
+CONCEPT_SQL = (
+    "SELECT query_id, term, weight AS quality, NULL::INT AS grp, 5 AS seq FROM cw JOIN dict USING (term) UNION ALL SELECT query_id, term, weight * 0.8::DOUBLE, NULL, 6 FROM "
+    "(SELECT cw.query_id, dict.term, weight, row_number() OVER (PARTITION BY query_id, cw.term ORDER BY encode(dict.term)) AS k FROM cw JOIN dict ON starts_with(dict.term, cw.term) WHERE weight >= 0.8) WHERE k <= 4"
+)
+
+
+def distance(a: str, b: str) -> str:
+    """Distance in characters: the SQL's function counts bytes, so the letters beyond ASCII become capitals, which terms don't hold."""
+    one = lambda x: f"translate({x}, 'ßäçèéêíñóöü', 'ABCDEFGHIJK')"
+    return f"levenshtein({one(a)}, {one(b)})"
+
+
+FUZZY_SQL = (
+    "SELECT query_id, pos, token, term, dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY dist, length(term), encode(term)) AS k FROM (SELECT query_id, pos, token, term, " + distance("token", "term") + " AS dist, "
+    "CASE WHEN length(token) <= 3 THEN 0 WHEN length(token) <= 5 THEN 1 ELSE 2 END AS budget FROM qt JOIN dict ON substr(term, 1, 1) = substr(token, 1, 1) AND abs(length(term) - length(token)) <= 2) WHERE dist > 0 AND dist <= budget) WHERE k <= 8"
+)
+FUZZY_OFFERS_SQL = f"SELECT query_id, term, 0.6::DOUBLE * (1 - dist / greatest(3, length(token))) AS quality, pos AS grp, 4 AS seq FROM ({FUZZY_SQL})"
 CANDIDATES_CTE = (
-    f"{INDEX_CTE}, {QT_CTE}, offers AS ({EXACT_SQL} UNION ALL {PREFIX_SQL} UNION ALL {STEMS_SQL})"
+    f"{INDEX_CTE}, {QT_CTE}, {CONCEPTS_CTE}, offers AS ({EXACT_SQL} UNION ALL {PREFIX_SQL} UNION ALL {STEMS_SQL} UNION ALL {FUZZY_OFFERS_SQL} UNION ALL {CONCEPT_SQL})"
     ", cand AS (SELECT query_id, term, quality, grp FROM (SELECT *, row_number() OVER (PARTITION BY query_id, term ORDER BY quality DESC, grp NULLS LAST, seq) AS k FROM offers) WHERE k = 1)"
 )
 BM25_CTE = (
@@ -123,13 +149,22 @@ def searches(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SEARCHES, "query_id int, q string")
 
 
+_SAVED: dict[tuple, str] = {}
+
+
 def built(spark, sf_dir) -> index.Index:
-    return index.Index.build(index.as_passages(documents(spark, sf_dir)))
+    """The index of the documents, built once for each session and set of files, in the shared folder."""
+    docs = documents(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()))
+    if key not in _SAVED:
+        folder = f"{linked.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        index.Index.create(index.as_passages(docs), folder)
+        _SAVED[key] = folder
+    return index.Index.load(spark, _SAVED[key])
 
 
 def offered(spark, ix: index.Index) -> DataFrame:
-    tokens = expand.query_tokens(searches(spark))
-    return expand.merge(expand.exact(tokens, ix.terms), expand.prefix(tokens, ix.terms), expand.stems(tokens, ix.terms, ix.stems))
+    return expand.candidates(searches(spark), ix.terms, ix.stems, spark.createDataFrame(CONCEPTS, "id string, term string, kind string"))
 
 
 def scored(spark, sf_dir):
@@ -194,8 +229,7 @@ def weighted_postings(spark, sf_dir):
 
 @query(f"WITH {INDEX_CTE} SELECT doc_id, l FROM len")
 def doc_length(spark, sf_dir):
-    p = index.as_passages(documents(spark, sf_dir))
-    return index.lengths(p, index.field_tokens(p))
+    return built(spark, sf_dir).documents.select(F.col("i").alias("doc_id"), "l")
 
 
 @query(f"WITH {INDEX_CTE} SELECT n_docs, round(avg_len, 6) AS avg_len FROM fig")
@@ -259,41 +293,19 @@ def expand_stem(spark, sf_dir):
     return expand.stems(expand.query_tokens(searches(spark)), ix.terms, ix.stems)
 
 
-FUZZY_SQL = (
-    "SELECT query_id, pos, token, term, dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY dist, length(term), term) AS k FROM (SELECT query_id, pos, token, term, levenshtein(token, term) AS dist, "
-    "CASE WHEN length(token) <= 3 THEN 0 WHEN length(token) <= 5 THEN 1 ELSE 2 END AS budget FROM qt JOIN dict ON substr(term, 1, 1) = substr(token, 1, 1) AND abs(length(term) - length(token)) <= 2 WHERE regexp_full_match(term, '[ -~]*')) WHERE dist > 0 AND dist <= budget) WHERE k <= 8"
-)
-
-
 @query(f"WITH {INDEX_CTE}, {QT_CTE} {FUZZY_SQL}")
 def expand_fuzzy(spark, sf_dir):
-    """Over ASCII terms, as the SQL's distance counts bytes."""
-    terms = built(spark, sf_dir).terms.filter(F.col("term").rlike("^[ -~]*$"))
-    return expand.fuzzy_matches(expand.query_tokens(searches(spark)), terms)
-
-
-@query()
-def expand_fuzzy_all_terms(spark, sf_dir):
-    """As expand_fuzzy, but over all terms."""
     return expand.fuzzy_matches(expand.query_tokens(searches(spark)), built(spark, sf_dir).terms)
 
 
-CONCEPTS = [("law", "public license", "term"), ("law", "license", "term"), ("law", "warranty", "related"), ("law", "software", "related"), ("thing", "thing", "term"), ("thing", "tion", "related")]
-
-
-@query(
-    f"WITH {QT_CTE}, con(id, term, kind) AS (VALUES " + ", ".join(map(str, CONCEPTS)) + ")"
-    ", keys AS (SELECT id, term AS key FROM con WHERE kind = 'term' UNION SELECT id, unnest(list_filter(string_split(term, ' '), lambda w: length(w) > 2)) FROM con WHERE kind = 'term' AND contains(term, ' '))"
-    ", hit AS (SELECT DISTINCT query_id, id FROM (SELECT query_id, nq AS key FROM qn UNION SELECT query_id, unnest(string_split(nq, ' ')) FROM qn) JOIN keys USING (key))"
-    " SELECT query_id, w AS term, max(weight) AS weight FROM (SELECT query_id, unnest(string_split(term, ' ')) AS w, CASE kind WHEN 'term' THEN 0.85::DOUBLE ELSE 0.45 END AS weight FROM hit JOIN con USING (id)) GROUP BY ALL"
-)
+@query(f"WITH {QT_CTE}, {CONCEPTS_CTE} SELECT query_id, term, weight FROM cw")
 def expand_concepts(spark, sf_dir):
     return expand.concept_terms(searches(spark), spark.createDataFrame(CONCEPTS, "id string, term string, kind string"))
 
 
 @query(f"WITH {CANDIDATES_CTE} SELECT query_id, term, round(quality, 6) AS quality, grp FROM cand")
 def expand_merged(spark, sf_dir):
-    return offered(spark, built(spark, sf_dir)).withColumn("quality", F.round("quality", 6))
+    return offered(spark, built(spark, sf_dir)).select("query_id", "term", F.round("quality", 6).alias("quality"), "grp")
 
 
 # --- ranking --------------------------------------------------------------------------------------------
@@ -323,10 +335,18 @@ def bm25_paged(spark, sf_dir):
     return page(kept(spark, sf_dir), 21, 40)
 
 
+@query(f"WITH {BOOST_CTE}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM kept) SELECT query_id, rank, doc_id, title, section, round(score, 3) AS score, total FROM o WHERE rank <= 40")
+def search_response(spark, sf_dir):
+    """The whole search call: every branch of expansion, all boosts, floor, rank and total, scores to three places."""
+    ix = built(spark, sf_dir)
+    hits, totals, _ = rank.search(searches(spark), ix, offered(spark, ix))
+    return hits.join(totals, "query_id").select("query_id", "rank", "doc_id", "title", "section", "score", "total")
+
+
 def _boosts(spark, sf_dir):
     ix, s = scored(spark, sf_dir)
     asked = searches(spark).select("query_id", T.normalize_query("q").alias("nq"), F.greatest(F.size(T.without_stops(T.tokens_of(T.normalize_query("q")))), F.lit(1)).alias("need"))
-    return s.join(asked, "query_id").join(ix.documents.select(F.col("i").alias("doc_id"), "t", "n"), "doc_id")
+    return s.join(asked, "query_id").join(ix.documents.select(F.col("i").alias("doc_id"), "t", "n", "nt"), "doc_id")
 
 
 @query(f"WITH {BOOST_CTE} SELECT query_id, doc_id, groups, round(coverage, 6) AS boost FROM bo")
@@ -341,7 +361,7 @@ def phrase_boost(spark, sf_dir):
 
 @query(f"WITH {BOOST_CTE} SELECT query_id, doc_id, title_boost AS boost FROM bo")
 def title_boost(spark, sf_dir):
-    return _boosts(spark, sf_dir).select("query_id", "doc_id", rank.title(T.normalize_query("t"), F.col("nq")).alias("boost"))
+    return _boosts(spark, sf_dir).select("query_id", "doc_id", rank.title(F.col("nt"), F.col("nq")).alias("boost"))
 
 
 NOW_MS = 1_000_000_000_000
@@ -391,10 +411,16 @@ def snippet_best_sentence(spark, sf_dir):
     return rows.select("doc_id", present.snippet(F.col("b"), F.lit(""), F.array(*map(F.lit, SNIPPET_TERMS)), F.lit("public license")).alias("snippet"))
 
 
-@query()
+MARKED = "(?:thing|license|tion)+"  # none of these terms overlaps another, so neighbours make one stretch
+
+
+@query(
+    f"WITH m AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '(?i){MARKED}') AS ps, regexp_extract_all(coalesce(text, ''), '(?i){MARKED}') AS ms FROM documents), i AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m)"
+    ' SELECT doc_id, s AS start, s + length(ms[i]) AS "end" FROM (SELECT *, (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM i)'
+)
 def highlight_ranges(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", "text", F.array(*map(F.lit, SNIPPET_TERMS)).alias("terms"))
-    return present.highlight(rows, "text", "terms").select("doc_id", F.explode("ranges").alias("r")).select("doc_id", "r.start", "r.end")
+    return present.highlight(rows, "text", "terms", most=None).select("doc_id", F.explode("ranges").alias("r")).select("doc_id", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("end"))
 
 
 MISSPELT = [(1, "licence thinng"), (2, "the licensse"), (3, "public license"), (4, "qqqqqq"), (5, "warrenty sofware")]
@@ -403,12 +429,11 @@ MISSPELT = [(1, "licence thinng"), (2, "the licensse"), (3, "public license"), (
 @query(
     f"WITH {INDEX_CTE}, ms(query_id, q) AS (VALUES " + ", ".join(map(str, MISSPELT)) + ")"
     ", t AS (SELECT query_id, unnest(range(len(ts))) AS pos, unnest(ts) AS token FROM (SELECT query_id, string_split(q, ' ') AS ts FROM ms))"
-    ", f AS (SELECT query_id, pos, term FROM (SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY dist, df DESC, term) AS k FROM (SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY dist, length(term), term) AS m FROM (SELECT t.*, dict.term, dict.df, levenshtein(token, dict.term) AS dist, CASE WHEN length(token) <= 3 THEN 0 WHEN length(token) <= 5 THEN 1 ELSE 2 END AS budget"
-    " FROM t JOIN dict ON substr(dict.term, 1, 1) = substr(token, 1, 1) AND abs(length(dict.term) - length(token)) <= 2 WHERE regexp_full_match(dict.term, '[ -~]*') AND token NOT IN (SELECT term FROM dict)) WHERE dist BETWEEN 1 AND budget) WHERE m <= 8) WHERE k = 1)"
+    f", f AS (SELECT query_id, pos, term FROM (SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY dist, df DESC, term) AS k FROM (SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY dist, length(term), term) AS m FROM (SELECT t.*, dict.term, dict.df, {distance('token', 'dict.term')} AS dist, CASE WHEN length(token) <= 3 THEN 0 WHEN length(token) <= 5 THEN 1 ELSE 2 END AS budget"
+    " FROM t JOIN dict ON substr(dict.term, 1, 1) = substr(token, 1, 1) AND abs(length(dict.term) - length(token)) <= 2 WHERE token NOT IN (SELECT term FROM dict)) WHERE dist BETWEEN 1 AND budget) WHERE m <= 8) WHERE k = 1)"
     " SELECT query_id, string_agg(coalesce(f.term, t.token), ' ' ORDER BY pos) AS suggestion FROM t LEFT JOIN f USING (query_id, pos) GROUP BY query_id HAVING count(f.term) > 0"
 )
 def did_you_mean(spark, sf_dir):
-    """Over all terms; the SQL's ASCII terms give the same for these queries on the given tables."""
     return present.suggestions(spark.createDataFrame(MISSPELT, "query_id int, q string"), built(spark, sf_dir).terms)
 
 
@@ -754,16 +779,8 @@ def live_sections(spark, sf_dir):
     return live.live_sections(table(spark, sf_dir, "pages")).select("page_id", "entry_no", "title", "body")
 
 
-@query("SELECT doc_id, replace(replace(replace(replace(replace(substr(coalesce(text, ''), 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;') AS plain FROM documents")
+@query(f"SELECT doc_id, regexp_replace(replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;'), '({MARKED})', '<mark>\\1</mark>', 'gi') AS html FROM documents")
 def highlight_html(spark, sf_dir):
-    """With the marks taken out again it is the escaped text."""
-    rows = documents(spark, sf_dir).select("doc_id", F.substring(T.text("text"), 1, 300).alias("text"), F.array(*map(F.lit, SNIPPET_TERMS)).alias("terms"))
-    shown = present.highlight_html(rows, "text", "terms")
-    return shown.select("doc_id", F.regexp_replace("html", "</?mark>", "").alias("plain"))
-
-
-@query()
-def highlight_html_whole(spark, sf_dir):
     """Whole texts with their marks."""
     rows = documents(spark, sf_dir).select("doc_id", "text", F.array(*map(F.lit, SNIPPET_TERMS)).alias("terms"))
-    return present.highlight_html(rows, "text", "terms").select("doc_id", "html")
+    return present.highlight_html(rows, "text", "terms", most=None).select("doc_id", "html")

@@ -12,7 +12,7 @@ from warraq.functions import constants as C
 from warraq.functions import text as T
 from warraq.operators import passages as P
 
-_SECTION = "title string, section string, type string, url string, body string, source string, `desc` string, heading string, keywords string, alt string, img string, rank double"
+_SECTION = "title string, section string, type string, url string, body string, source string, `desc` string, heading string, keywords string, alt string, img string, updated string, rank double"
 PARSED = f"path string, suffix string, docs array<struct<{_SECTION.replace(' string', ':string').replace(' double', ':double')}>>, triples array<struct<subject:string,predicate:string,object:string>>, error string"
 
 
@@ -64,7 +64,7 @@ def collect(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataF
     parsed = cut_lineage(parse(read_folder(spark, root)))
     sections = parsed.select("path", F.posexplode("docs").alias("section_no", "d")).select("path", "section_no", "d.*")
     made = P.classify(P.make_passages(sections))
-    numbered = dense_ids(made, ["path", "section_no", "passage_no"], "doc_id").withColumn("updated", F.lit(""))
+    numbered = dense_ids(made, ["path", "section_no", "passage_no"], "doc_id")
     triples = parsed.select("path", F.posexplode("triples").alias("n", "t")).select("path", "n", "t.*")
     counts = parsed.groupBy(F.when(F.col("error").isNull(), F.col("suffix")).otherwise("skipped").alias("kind")).agg(F.count("*").alias("n"))
     return P.deduplicate(numbered.drop("path", "section_no", "passage_no")), dense_ids(triples, ["path", "n"], "ord").drop("path", "n"), counts

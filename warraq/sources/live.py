@@ -9,10 +9,11 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from contextlib import suppress
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from warraq.functions import constants as C
 from warraq.sources.parsers import STRUCTURED, parse_records
@@ -116,7 +117,7 @@ def parse_live_page(raw: str, path: str, prefix: str = "index") -> list[dict]:
             "title": title, "section": section, "type": data(el, "type") or guessed_type(f"{el.attributes.get('class', '')} {section}"), "url": data(el, "url") or link or path + (f"#{anchor}" if anchor else ""),
             "body": body, "source": path, "desc": data(el, "desc") or body[: C.DESC_CHARS], "heading": " · ".join(x.text().strip() for x in el.below() if x.tag in ("h2", "h3", "h4", "h5", "dt", "th")), "keywords": data(el, "keywords"),
             "alt": " ".join(f"{x.attributes.get('alt', '')} {x.attributes.get('title', '')}" for x in images).strip(), "img": data(el, "thumb") or (images[0].attributes.get("src", "") if images else ""),
-            "rank": _rank(data(el, "rank")) or C.SECTION_RANKS.get(section, 1.0),
+            "updated": data(el, "updated"), "rank": _rank(data(el, "rank")) or C.SECTION_RANKS.get(section, 1.0),
         })
     for script in (x for x in tree.root.below() if x.tag == "script"):
         kind = script.attributes.get("type", "")
@@ -130,6 +131,30 @@ def parse_live_page(raw: str, path: str, prefix: str = "index") -> list[dict]:
     return out
 
 
+def json_sources(spark: SparkSession, paths: list[str], section: str = DATABASE) -> DataFrame:
+    """The columns of a section, from JSON files at the listed addresses that Spark can read; one that is missing or
+    broken is passed over."""
+    from warraq.sources.files import _SECTION
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0].strip("`") for c in _SECTION.split(", ")]
+        for frame in frames:
+            rows = []
+            for path, raw in zip(frame.path, frame.content, strict=True):
+                with suppress(ValueError):
+                    rows += [d | {"source": path} for d in parse_records(json.loads(bytes(raw).decode("utf-8-sig")), section, C.SECTION_RANKS)]
+            yield pd.DataFrame(rows, columns=names)
+
+    there = []
+    for path in paths:  # a short list of settings
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            there.append(path)
+    if not there:
+        return spark.createDataFrame([], _SECTION)
+    return spark.read.format("binaryFile").load(there).select("path", "content").mapInPandas(run, _SECTION)
+
+
 def live_sections(pages: DataFrame, prefix: str = "index", html_col: str = "html", path_col: str = "url", id_col: str = "page_id") -> DataFrame:
     """(id, entry_no and the columns of a section) of rendered pages held in a table; null pages have none."""
     from warraq.sources.files import _SECTION
