@@ -149,3 +149,41 @@ def test_rows_of_the_join_and_of_the_cut(spark):
             left.append((i, kept, *rest[:2], len(kept)))
     found = sorted(map(tuple, corpus_pipeline.repeated_substrings(spark, spark.createDataFrame(expected, docs.schema), "").collect()))
     assert found == left and found != expected
+
+
+# main text of pages: a held-out share of the given pages, as they are and without any tag or name that tells parts apart
+
+
+def test_main_text_by_words_and_neighbours():
+    import re
+    from collections import Counter
+
+    import pandas as pd
+
+    pages = pd.read_parquet("/root/testdata/sf0.001/pages.parquet").html
+    for plain in (False, True):
+        right = said = due = 0
+        for page in pages:
+            main = page[page.index("<article>") : page.index("</article>")]
+            expected = Counter(" ".join(b[0] for b in html_main.flat_blocks(main)).split())
+            if plain:
+                page = re.sub(r"<(/?)(article|nav|footer)>", r"<\1div>", page).replace('<div class="ad">', "<div>")
+            found = Counter(html_main.main_text(page).split())
+            right, said, due = right + (found & expected).total(), said + found.total(), due + expected.total()
+        assert right >= 0.95 * said and right >= 0.95 * due, plain
+
+
+def test_main_text_keeps_what_an_article_holds():
+    page = "<body><nav><a href=x>m</a></nav><article><div class='article-header'><p>Intro of this.</p></div><p>A <button>word</button> and <math>x</math> in it.</p></article>"
+    assert html_main.main_text(page) == "Intro of this.\n\nA word and x in it."
+    deep = "<nav>" + "<div>" * 300 + "<a href=x>m</a></nav><article>" + "<div>" * 250 + "<p>The text of it.</p></article>"
+    assert html_main.main_text(deep) == "The text of it."
+
+
+def test_broken_markup_takes_time_in_proportion():
+    import time
+
+    for part in ('<p class="x ', "<p a='\">", "<script", "<svg>", "<head>", "<![CDATA[", '<p a="x>" "', "<!--"):
+        began = time.perf_counter()
+        html_main.main_text(part * 20_000)
+        assert time.perf_counter() - began < 5, part

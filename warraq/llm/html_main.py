@@ -1,8 +1,9 @@
 """Main text of web pages from flat text blocks.
 
 A page becomes a flat list of blocks.  Each block has its word count and link density, those of the blocks
-before and after it, and what its containers say (in an article, in a menu or notice by tag, role, class or
-id).  A small decision tree, trained here on the labelled table below, says whether it is main text.
+before and after it, and what its containers say (in an article; in a menu or notice, by how plain a sign).
+A small decision tree, trained here on the labelled table below, says whether it is main text.  Containers are
+features like the others: where a page names none, words and links decide.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from warraq.llm._common import require, short_batches
 
-SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "select", "button", "head", "title", "audio", "video", "map", "math"}
+#: Elements whose text is no text of the page: code, what shows when something can't be, and fields of forms.
+SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "canvas", "textarea", "select", "head", "title", "audio", "video"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 CONTAINERS = {"article", "aside", "blockquote", "div", "dialog", "fieldset", "footer", "form", "header", "li", "main", "menu", "nav", "ol", "section", "table", "td", "th", "tr", "ul", "p"}
 #: Blocks before which an open p ends.
@@ -31,52 +33,155 @@ END_ROW = END_CELL - {"td", "th"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ASIDES = {"nav", "aside", "footer", "form", "menu", "dialog", "fieldset"}
 #: Words of class, id and role that name a part of the page that isn't the article.
-HINTS = {"ad", "ads", "adsense", "advert", "advertisement", "adverts", "alert", "alertdialog", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "copyright", "dialog", "disclaimer", "disqus", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination", "popup", "promo", "promoted", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "teaser", "toolbar", "topbar", "widget"}
-
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
+HINTS = {"ad", "ads", "adsense", "advert", "advertisement", "adverts", "alert", "alertdialog", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "copyright", "dialog", "disclaimer", "disqus", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination", "popup", "promo", "promoted", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "topbar", "toolbar", "widget"}
+#: Words that name a part of the article as well, in an article or beside one of OWN in the same name.
+EITHER = {"header", "banner", "form", "notice", "skip", "search"}
+OWN = {"article", "content", "entry", "main", "post", "story", "text", "body"}
+#: How plain a sign is that a container is not the article.
+NO_SIGN, FAINT, NAMED, TAGGED = 0, 1, 2, 3
+
+_MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([A-Za-z][^\s/>]*))")
+_TAG_PART = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _off_page(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether this element holds something other than the article."""
+def sign(tag: str, attributes: str, in_article: bool) -> int:
+    """How plainly this element says that it holds something other than the article."""
     if tag in ASIDES or tag == "header" and not in_article:
-        return True
+        return TAGGED
+    out = NO_SIGN
     for name, value in _ATTRIBUTE.findall(attributes):
         value = value.strip("\"'")
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and any(w.lower() in HINTS for w in _WORD.findall(value)):
-            return True
-    return False
+            return TAGGED
+        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
+            for one in value.split():
+                words = {w.lower() for w in _WORD.findall(one)}
+                told = words & HINTS
+                if told:
+                    out = max(out, FAINT if told <= EITHER and (in_article or words & OWN) else NAMED)
+    return out
+
+
+class Markup:
+    """The tags of a page in order; every character is read a bounded number of times, broken markup included."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.dead: set[int] = set()  # quotes after which no tag ever ends
+        self.missing: set[str] = set()  # what doesn't occur any more
+
+    def find(self, what: str, at: int) -> int:
+        """Where `what` is next, or -1; looked for only until it is missing once."""
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def after_tag(self, at: int) -> int:
+        """The place after the tag whose name ends here: its first > outside quotes, or its first > if quotes don't end."""
+        page, seen, here = self.page, [], at
+        while True:
+            m = _TAG_PART.search(page, here)
+            if not m:
+                break
+            if m[0] == ">":
+                return m.end()
+            if m.start() in self.dead:
+                break
+            seen.append(m.start())
+            close = self.find(m[0], m.end())
+            if close < 0:
+                break
+            here = close + 1
+        self.dead.update(seen)
+        plain = self.find(">", at)
+        return plain + 1 if plain >= 0 else -1
+
+    def after_element(self, tag: str, at: int) -> int:
+        """The place after the end tag of a skipped element that begins here, or -1."""
+        if tag in self.missing:
+            return -1
+        m = re.compile(rf"</{tag}\b", re.I).search(self.page, at)
+        end = self.find(">", m.end()) if m else -1
+        if end < 0:
+            self.missing.add(tag)
+        return end + 1 if end >= 0 else -1
+
+    def body_start(self, at: int) -> int:
+        m = None if "<body" in self.missing else re.compile(r"<body\b", re.I).search(self.page, at)
+        if not m:
+            self.missing.add("<body")
+        return m.start() if m else -1
+
+    def pieces(self):
+        """(text before the tag, tag or "" at the end, closing, attributes) over the whole page."""
+        page, at, end = self.page, 0, len(self.page)
+        held = 0  # where the text that no tag has ended begins
+        while True:
+            m = _MARKUP.search(page, at)
+            if not m:
+                yield page[held:], "", False, ""
+                return
+            tag = (m[2] or "").lower()
+            if tag:
+                after = self.after_tag(m.end())
+            else:
+                close = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0], ">")
+                after = self.find(close, m.end())
+                after = after + len(close) if after >= 0 else end if m[0] == "<!--" else -1
+            if after < 0:  # not markup: read as text
+                at = m.end()
+                continue
+            text = page[held : m.start()]
+            at = held = after
+            if tag in SKIPPED and not m[1]:
+                if page[after - 2] != "/":
+                    close, body = self.after_element(tag, after), self.body_start(after) if tag == "head" else -1
+                    if 0 <= body and (close < 0 or body < close):
+                        at = held = body
+                    elif close >= 0:
+                        at = held = close
+                    elif tag in ("script", "style"):
+                        at = held = end
+                yield text, "", False, ""
+            elif tag:
+                yield text, tag, bool(m[1]), page[m.end() : after - 1]
+            else:
+                yield text, "", False, ""
 
 
 def flat_blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
-    """(text, words, words in links, off-page container, article container, heading) in page order."""
+    """(text, words, words in links, sign of another part, article container, heading) in page order."""
     blocks: list[tuple] = []
     parts: list[str] = []
-    linked = in_link = off = inside = heading = 0
-    # (tag, off-page, article, and where the item, cell and row are that an implied end would close, or -1)
-    stack: list[tuple[str, bool, bool, int, int, int]] = []
+    linked = in_link = inside = heading = 0
+    # (tag, its sign, article, and where the item, cell and row are that an implied end would close, or -1)
+    stack: list[tuple[str, int, bool, int, int, int]] = []
     opened: Counter[str] = Counter()
-    at, end = 0, len(page)
+    signs = [0, 0, 0, 0]  # open containers by sign
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            blocks.append((text, text.count(" ") + 1, linked, int(off > 0), int(inside > 0), int(heading > 0)))
+            plain = next((k for k in (TAGGED, NAMED, FAINT) if signs[k]), NO_SIGN)
+            blocks.append((text, text.count(" ") + 1, linked, plain, int(inside > 0), int(heading > 0)))
         parts.clear()
         linked = 0
 
     def close_from(depth: int) -> None:
         """Ends the containers from this depth on."""
-        nonlocal off, inside
+        nonlocal inside
         while len(stack) > depth:
             name, o, i, *_ = stack.pop()
             opened[name] -= 1
-            off, inside = off - o, inside - i
+            signs[o] -= 1
+            inside -= i
 
     def close_implied(tag: str) -> None:
         """Ends what this start tag ends by the rules of HTML, where end tags are left out."""
@@ -90,29 +195,12 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
         if tag in END_P and stack and stack[-1][0] == "p":
             close_from(len(stack) - 1)
 
-    def add(raw: str) -> None:
-        nonlocal linked
-        parts.append(raw)
-        if in_link:
-            linked += len(html.unescape(raw).split())
-
-    while at < end:
-        m = _TAG.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        tag, closing, attributes = m[2].lower(), bool(m[1]), m[3] or ""
-        if tag in SKIPPED and not closing:
-            if not attributes.endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                body = re.compile(r"<body\b", re.I).search(page, at) if tag == "head" else None
-                at = close.end() if close and not (body and body.start() < close.start()) else body.start() if body else end if tag in ("script", "style") else at
-        elif tag == "a":
+    for text, tag, closing, attributes in Markup(page).pieces():
+        if text:
+            parts.append(text)
+            if in_link:
+                linked += len(html.unescape(text).split())
+        if tag == "a":
             in_link = 0 if closing else 1
         elif tag == "br":
             parts.append(" ")
@@ -123,14 +211,15 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
             if tag in HEADINGS:
                 heading = 0 if closing else 1
             elif tag in CONTAINERS and not closing:
-                o, i = _off_page(tag, attributes, inside > 0), tag in ("article", "main")
+                o, i = sign(tag, attributes, inside > 0), tag in ("article", "main")
                 item, cell, row = stack[-1][3:] if stack else (-1, -1, -1)
                 here = len(stack)
                 item = here if tag == "li" else item if tag in ("div", "p") else -1  # other containers keep an item open
                 cell, row = (-1, -1) if tag == "table" else (here if tag in ("td", "th") else cell, here if tag == "tr" else row)
                 stack.append((tag, o, i, item, cell, row))
                 opened[tag] += 1
-                off, inside = off + o, inside + i
+                signs[o] += 1
+                inside += i
             elif tag in CONTAINERS and opened[tag]:
                 depth = len(stack) - 1
                 while stack[depth][0] != tag:
@@ -141,7 +230,7 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
     return blocks
 
 
-FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "off page", "article", "heading")
+FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "sign", "article", "heading")
 
 
 def features(blocks: list[tuple]) -> np.ndarray:
@@ -151,47 +240,46 @@ def features(blocks: list[tuple]) -> np.ndarray:
     return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], rest])
 
 
-#: The labelled table: runs of blocks as "words/linked words[o][a][h]=label", o: in an off-page container, a: in an article, h: heading, label 1: main text.
+#: The labelled table: pages as runs of blocks "words/linked words, o and its sign, a, h = label"; o1: a faint sign, o2: a name, o3: a
+#: tag says that the container isn't the article; a: in an article, h: heading, label 1: main text.
 LABELLED = (
-    "1/1o=0 1/1o=0 2/2o=0 1/1o=0 9o=0 12ah=1 84a=1 120a=1 65a=1 1a=1 14o=0 6/6o=0",
-    "3/3o=0 2/2o=0 4ah=1 33a=1 2a=1 40/2a=1 7ah=1 58a=1 22o=0 18o=0",
+    # pages with tags and names
+    "1/1o3=0 1/1o3=0 2/2o3=0 1/1o3=0 9o2=0 12ah=1 84a=1 120a=1 65a=1 1a=1 14o3=0 6/6o3=0",
+    "3/3o3=0 2/2o2=0 4ah=1 33a=1 2a=1 40/2a=1 7ah=1 58a=1 22o2=0 18o3=0",
+    "2o3=0 8o2h=0 35o2=0 28/2o2=0 11ah=1 48a=1 5/5a=1 52/20a=1 3o2ah=0 30o2a=0 24o2a=0 6/4o2a=0",
+    "6ah=1 20a=1 19a=1 24a=1 9o2a=0 33a=1 11/11o2a=0 7o3a=0 16o3=0 12/12o3=0",
+    "30o3=0 45o2=0 6h=1 55=1 70=1 20o3=0 60o2=0 41o3=0",
+    "5/5o3=0 6/5o2=0 5ah=1 1a=1 3a=1 2a=1 1a=1 17a=1 8/2o2=0 25o3=0",
+    "2/2o3=0 3/3o3=0 5ah=1 26/9a=1 14/4a=1 90a=1 18/5a=1 6/6o2a=0",
+    "7ah=1 40a=1 38a=1 25a=1 3a=1",
+    "5o2=0 70a=1 80a=1 75a=1 80o2a=0 75o2a=0",
+    "1/1o3=0 4a=1", "1/1o3=0 2/2o3=0 1/1o3=0 6a=1", "3/3o3=0 15a=1 9o3=0", "1/1=0 1/1=0 2a=1", "1/1o2=0 5/5a=1 4a=1 8o3=0", "2/2=0 2/2=0 1/1=0 12a=1 3a=1", "1/1o3=0 1a=1 7/7o3=0", "60a=1 5a=1", "44a=1 9a=1 2a=1 8o3=0", "9o2=0 3a=1",
+    "20o2=0 90o3=0", "12a=1", "5ah=1 6/5a=1 30a=1", "6o3=0 44=1 6o2=0 80=1 100/90=0",
+    # faint signs: the head of an article, or links in it
+    "3/3o3=0 9o1ah=1 14o1a=1 60a=1 41a=1 8o3=0", "12o1h=1 25o1=1 70=1 55=1 9o2=0", "8o1a=1 30o1a=1 22o1a=1 5/5o1a=0 2/2o1a=0 3/3o1a=0 66a=1",
+    "1/1o1=0 2/2o1=0 1/1o1=0 6o1h=1 18o1=1 90=1 40=1", "4/4o1=0 3/3o1=0 7h=1 50=1 35o1=1 80=1",
+    # pages without any: links, words and neighbours decide
     "1/1=0 1/1=0 1/1=0 2/2=0 8h=1 90=1 75/3=1 44=1 3h=1 31=1 5/5=0 4/4=0 6/6=0 3=0",
     "2/2=0 3/3=0 7h=1 25=1 60=1 110/6=1 10/8=0 9/9=0 8/8=0 12/10=0",
-    "30o=0 45o=0 6h=1 55=1 70=1 20o=0 60o=0 41o=0",
-    "5/5=0 6/5=0 5ah=1 1a=1 3a=1 2a=1 1a=1 17a=1 8/2o=0 25o=0",
-    "10o=0 3h=1 12=1 16=1 9=1 14=1 11=1 3/3=0 2/2=0 2/2=0",
-    "4/4=0 1/1=0 5h=1 100=1 15/15=0 95=1 80=1 4/4=0 2/1=0 5=0",
-    "1/1=0 2/2=0 1/1=0 150=1 160=1 140=1 1/1=0 1/1=0 9=0",
-    "2o=0 8oh=0 35o=0 28/2o=0 11ah=1 48a=1 5/5a=1 52/20a=1 3oah=0 30oa=0 24oa=0 6/4oa=0",
-    "6ah=1 20a=1 19a=1 24a=1 9oa=0 33a=1 11/11oa=0 7oa=0 16o=0 12/12o=0",
-    "3/3=0 3/3=0 3/3=0 9h=1 6=1 64=1 8=1 77=1 6=1 50=1 3/3=0 3/3=0",
-    "7ah=1 40a=1 38a=1 25a=1 3a=1",
-    "50=1 61=1 45=1",
-    "9h=1 30=1 4=1",
-    "12a=1",
-    "25=1",
-    "2/2o=0 3/3o=0 5ah=1 26/9a=1 14/4a=1 90a=1 18/5a=1 6/6oa=0",
-    "4/4=0 5/5=0 30/3=1 45/10=1 70/1=1 60/6=1",
-    "6/6=0 7/7=0 5/5=0 8/8=0 40/40=0",
-    "20o=0 90o=0",
-    "5ah=1 6/5a=1 30a=1",
-    "5/5=0 4h=1 30/12=1 44=1",
-    "3/3=0 2/2=0 8=1",
-    "6o=0 44=1 6o=0 80=1 100/90=0",
-    "5o=0 70a=1 80a=1 75a=1 80oa=0 75oa=0",
+    "1/1=0 1/1=0 1/1=0 1/1=0 9=0 11h=1 62=1 80=1 31=1 6=1 95=1 14=0", "1/1=0 1/1=0 1/1=0 6=0 10h=1 120=1 45=1 12=1 88=1 19=0", "1/1=0 2/2=0 1/1=0 1/1=0 14=0 5h=1 39=1 2=1 64=1 101=1 11=0",
+    "1/1=0 1/1=0 20=0 9h=1 27=1 58=1 140=1 9=0", "1/1=0 1/1=0 1/1=0 5=0 12h=1 71=1 3=1 1=1 18=1 66=1 16=0", "1/1=0 1/1=0 12=0 8h=1 16=1 21=1 24=1 60=1 7=0", "2/2=0 1/1=0 1/1=0 17=0 6h=1 44=1 9=1 13=1 52=1 12=0",
+    "1/1=0 2/2=0 1/1=0 150=1 160=1 140=1 1/1=0 1/1=0 9=0", "3/3=0 3/3=0 3/3=0 9h=1 6=1 64=1 8=1 77=1 6=1 50=1 3/3=0 3/3=0",
+    "4/4=0 1/1=0 5h=1 100=1 15/15=0 95=1 80=1 4/4=0 2/1=0 5=0", "4/4=0 5/5=0 30/3=1 45/10=1 70/1=1 60/6=1", "6/6=0 7/7=0 5/5=0 8/8=0 40/40=0",
+    "5/5=0 4h=1 30/12=1 44=1", "3/3=0 2/2=0 8=1", "10o3=0 3h=1 12=1 16=1 9=1 14=1 11=1 3/3=0 2/2=0 2/2=0",
+    "50=1 61=1 45=1", "9h=1 30=1 4=1", "25=1", "7=1", "2=1 2=1",
 )
 
 
 def labelled_table() -> tuple[np.ndarray, np.ndarray]:
     xs, ys = [], []
     for page in LABELLED:
-        rows = [re.fullmatch(r"(\d+)(?:/(\d+))?(o?)(a?)(h?)=(\d)", r) for r in page.split()]
-        xs.append(features([("", int(m[1]), int(m[2] or 0), int(bool(m[3])), int(bool(m[4])), int(bool(m[5]))) for m in rows]))
+        rows = [re.fullmatch(r"(\d+)(?:/(\d+))?(?:o([123]))?(a?)(h?)=(\d)", r) for r in page.split()]
+        xs.append(features([("", int(m[1]), int(m[2] or 0), int(m[3] or 0), int(bool(m[4])), int(bool(m[5]))) for m in rows]))
         ys += [int(m[6]) for m in rows]
     return np.vstack(xs), np.array(ys)
 
 
-def grow_tree(x: np.ndarray, y: np.ndarray, depth: int = 5, least: int = 3):
+def grow_tree(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2):
     """A nested (feature, threshold, below, above), or a leaf 0 or 1; splits by Gini impurity, first of equals."""
     p = y.mean()
     if depth == 0 or p in (0, 1):
