@@ -29,25 +29,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:
-    """No node has two parents and no parent has a parent; two counts come to the driver."""
-    parents = edges.groupBy("a").agg(F.count("*").alias("n"))
-    found = edges.join(parents.select(F.col("a").alias("b"), F.col("n").alias("over")), "b", "left")
-    chained, rows = found.agg(F.count("over"), F.count("*")).first()
-    return chained == 0 and parents.count() == rows
+    """No node has two parents and no parent has a parent; three counts come to the driver.
+
+    Parents are counted once each before they meet, so a parent of many is one row.
+    """
+    children = edges.select("a").distinct()
+    parents = edges.select(F.col("b").alias("a")).distinct()
+    return children.count() == edges.count() and parents.join(children, "a", "left_semi").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the columns a and b of edges; root is the component's smallest node.
 
     Each round writes its edges to the checkpoint folder, so the plan stays short and lost executors cost
-    one round at most.
+    one round at most.  Least neighbours are written as well before they join the edges: both sides of these joins
+    are then plain exchanges, which adaptive execution can split at a node of many edges.
     """
     now = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not _is_forest_of_stars(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = cut_lineage(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
+        least = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         now = cut_lineage(small.filter("a <> b").distinct())
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
