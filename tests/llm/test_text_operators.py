@@ -62,7 +62,7 @@ def test_long_texts_in_parts_give_the_same_passes():
     rng = np.random.default_rng(1)
     part = bytes(rng.integers(97, 123, 700, dtype=np.uint8))
     texts = [bytes(rng.integers(97, 123, 900, dtype=np.uint8)) + part + b"z" * 150 + part[:300], b"q" + part, part[50:260], b"short"]
-    head = np.array([len(texts), *range(len(texts)), *map(len, texts)], "<i8").tobytes()
+    head = np.array([len(texts), *range(len(texts)), *map(len, texts)], "<i8").tobytes() + bytes(len(texts))
     batch = Batch([zstandard.ZstdCompressor().compress(head + b"".join(texts))])
 
     def spans(size: int) -> list:

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from warraq.llm._common import input_bytes, require, short_batches
@@ -89,26 +89,31 @@ def sizes(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[int, int]:
     return max(1, -(-total // batch_bytes)), max(1, -(-total // BUCKET_BYTES))
 
 
+def dealt_to(n_batches: int, id_col: str, text_col: str) -> Column:
+    """The batch of a row: by its id, or by its text where it has none."""
+    return F.pmod(F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("long"))).otherwise(F.xxhash64(F.col(text_col).cast("string"))), F.lit(n_batches))
+
+
 def batches(docs: DataFrame, n_batches: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(b long, blob binary): documents of each batch; rows without an id are in batch 0, null texts empty."""
+    """(b long, blob binary): documents of each batch; null ids stay null, null texts are empty."""
     require(docs, id_col, text_col)
-    rows = short_batches(docs).select(F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(n_batches)), F.lit(0)).alias("b"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = short_batches(docs).select(dealt_to(n_batches, id_col, text_col).alias("b"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int | None, bytes]] = []
 
         def blobs() -> pa.RecordBatch:
-            by: dict[int, list[tuple[int, bytes]]] = {}
+            by: dict[int, list[tuple[int | None, bytes]]] = {}
             for b, i, raw in held:
                 by.setdefault(b, []).append((i, raw))
-            packed = [press.compress(np.array([len(part), *(i for i, _ in part), *(len(raw) for _, raw in part)], "<i8").tobytes() + b"".join(raw for _, raw in part)) for part in by.values()]
+            packed = [press.compress(np.array([len(part), *(i or 0 for i, _ in part), *(len(raw) for _, raw in part)], "<i8").tobytes() + bytes(i is None for i, _ in part) + b"".join(raw for _, raw in part)) for part in by.values()]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int64()), pa.array(packed, pa.binary())], names=["b", "blob"])
 
         size = 0
         for frame in frames:
-            for b, i, text in zip(frame.column(0).to_pylist(), frame.column(1).fill_null(np.iinfo(np.int64).min).to_pylist(), frame.column(2), strict=True):
+            for b, i, text in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), frame.column(2), strict=True):
                 raw = (text.as_py() or "").encode("utf-8", "replace")
                 held.append((b, i, raw))
                 size += len(raw)
@@ -122,21 +127,28 @@ def batches(docs: DataFrame, n_batches: int, id_col: str = "doc_id", text_col: s
 
 
 class Batch:
-    """Documents of one batch, sorted by id and text: ids, offsets and all bytes."""
+    """Documents of one batch, sorted by id and text: ids, whether they are null (those come first), texts.
+
+    A null id counts as the least number where places are compared; named() gives the ids as they were.
+    """
 
     def __init__(self, blobs) -> None:
-        found: list[tuple[int, bytes]] = []
+        found: list[tuple[bool, int, bytes]] = []
         for blob in blobs:
             raw = zstandard.ZstdDecompressor().decompress(blob)
             n = int.from_bytes(raw[:8], "little")
             head = np.frombuffer(raw, "<i8", 2 * n, 8)
-            at = 8 + 16 * n
-            for i, length in zip(head[:n].tolist(), head[n:].tolist(), strict=True):
-                found.append((i, raw[at : at + length]))
+            at = 8 + 17 * n
+            for i, length, none in zip(head[:n].tolist(), head[n:].tolist(), raw[at - n : at], strict=True):
+                found.append((not none, np.iinfo(np.int64).min if none else i, raw[at : at + length]))
                 at += length
         found.sort()
-        self.ids = np.array([i for i, _ in found], np.int64)
-        self.texts = [t for _, t in found]
+        self.null = np.array([not known for known, _, _ in found], bool)
+        self.ids = np.array([i for _, i, _ in found], np.int64)
+        self.texts = [t for _, _, t in found]
+
+    def named(self) -> pd.arrays.IntegerArray:
+        return pd.arrays.IntegerArray(self.ids, self.null)
 
     def chunks(self, size: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first document, offsets of each document and the end, bytes) of about this many bytes; a text that is

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 from warraq.llm._exchange import Batch, PrefixHash, mix
 
@@ -13,6 +14,8 @@ _STEP = np.uint64(0xA24BAED4963EE407)
 
 #: Bytes that are hashed at once; a longer text goes in parts.
 PART = 1 << 20
+#: Words of so many bytes have a hash of another kind, as prefix sums modulo 2^64 know pairs of strings of 1024 letters apart by nothing.
+LONG_WORD = 512
 
 
 def words_of(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,6 +35,8 @@ def words_of(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarr
         last = max(k + 1, int(np.searchsorted(after, begin[k] + PART, side="right")))
         low = begin[k]
         hashes[k:last] = PrefixHash(raw[low : after[last - 1]]).ranges(begin[k:last] - low, after[k:last] - low)
+        for i in np.flatnonzero(after[k:last] - begin[k:last] >= LONG_WORD) + k:
+            hashes[i] = xxhash.xxh3_64_intdigest(raw[begin[i] : after[i]])
         k = last
     return hashes, np.searchsorted(begin, offsets)
 

@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from warraq.llm._common import require, short_batches
+from warraq.operators.components import cut_lineage
 
-PROFILE, TEXTS_PER_LANGUAGE, MAX_LANGUAGES = 300, 400, 1000
+PROFILE, TEXTS_PER_LANGUAGE, BROADCAST_LANGUAGES = 300, 400, 100_000
 UNKNOWN = "und"
 _BLANK, _BITS = 32, 21
 
@@ -82,19 +83,18 @@ class Profiles:
 
 
 def training_sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, per_language: int) -> DataFrame:
-    """At most per_language rows of each language: those whose id has the smallest hash.
+    """(lang, text) of at most per_language rows of each language: those whose id has the smallest hash.
 
-    Counts of languages (at most MAX_LANGUAGES rows at the driver) set a cut of the hash, so that only about
-    twice the sample is sorted.
+    Hashes alone are ranked, of which each task keeps per_language for a language; the cuts that follow, a row for
+    each language, are broadcast up to a checked number of languages and joined by language beyond it.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    cut = F.lit(None).cast("long")
-    for r in counts:
-        share = min(1.0, (2 * per_language + 50) / r["count"])
-        cut = F.when(F.col("lang") == r["lang"], F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))).otherwise(cut)
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    return rows.filter(F.col("h") <= cut).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= per_language).select("lang", "text")
+    first = Window.partitionBy("lang").orderBy("h")
+    cuts = cut_lineage(rows.select("lang", "h").withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= per_language).groupBy("lang").agg(F.max("h").alias("cut")))
+    near = F.broadcast(cuts) if cuts.count() <= BROADCAST_LANGUAGES else cuts
+    picked = rows.join(near, "lang").filter(F.col("h") <= F.col("cut"))
+    order = Window.partitionBy("lang").orderBy("h", "text")  # rows that repeat an id have one hash
+    return picked.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= per_language).select("lang", "text")
 
 
 def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", size: int = PROFILE, per_language: int = TEXTS_PER_LANGUAGE) -> Profiles:

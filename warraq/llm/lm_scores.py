@@ -83,7 +83,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the word that the corpus holds min_count times, times backoff for each longer one that the text has
     there, down to count(word) / all words.  n-grams don't cross documents.  A null, empty or blank text
     scores 0 with 0 words; rows that repeat an id count and are scored each; an empty table gives no rows;
-    further columns are ignored.
+    further columns are ignored; a null id
+    stays null.
     """
     n_batches, n_buckets = sizes(docs, BATCH_BYTES)
     dealt = batches(docs, n_batches, id_col, text_col).groupBy("b")
@@ -108,7 +109,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def finish(part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         batch, grams = heard(part, answers, order)
         logs, steps = grams.scores(answers, backoff)
-        return pd.DataFrame({id_col: batch.ids, "n_words": np.diff(grams.cuts), "log_score": logs, "n_backoffs": steps})
+        return pd.DataFrame({id_col: batch.named(), "n_words": np.diff(grams.cuts), "log_score": logs, "n_backoffs": steps})
 
     kinds = {n: (("u8", "u8"), _total) for n in range(order + 1)}
     known = answered(dealt.applyInPandas(ask_first, QUESTIONS), kinds)

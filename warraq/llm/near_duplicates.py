@@ -1,18 +1,20 @@
 """Similarity join of documents by the Jaccard index of their word n-grams.
 
-1. Each text becomes the set of its n-gram hashes; texts with equal sets are one class.
-2. Classes that agree on a band of MinHash values are linked to the smallest class of that band; connected
-   components of these links are the areas inside which similar classes must lie.
-3. An area is cut into blocks; each pair of blocks is one task.  There, MinHash values are compared a few at
-   a time, a pair is dropped once the posterior probability (uniform prior) of reaching the threshold falls
-   below the tolerance, and what is left is verified on the whole sets.
+1. Each text becomes the set of its n-gram hashes; texts with equal sets are one node, named by a key of the set.
+2. Nodes that agree on a band of MinHash values share a bucket.  Each is compared with the least node of its
+   bucket, MinHash values a few at a time: a pair is dropped once the posterior probability (uniform prior) of
+   reaching the threshold falls below the tolerance.  What is dropped is compared with the least of what its
+   bucket dropped, in a second round, and what a bucket drops twice stays linked without a test, so no similar
+   pair ever lies in two components.  Connected components of these links are the areas.
+3. An area is cut into blocks; each pair of blocks is one task.  There, the same test rules pairs out, and what is
+   left is verified on the whole sets.
 4. Tasks return counts of links and spanning links of their components, never all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from math import comb
 
 import numpy as np
@@ -22,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from warraq.llm._common import require, short_batches
-from warraq.llm._exchange import Batch, batches, mix, pack, sizes, unpack
+from warraq.llm._exchange import Batch, batches, dealt_to, mix, pack, sizes, unpack
 from warraq.llm._words import batch_words, gram_hashes, words_of
 from warraq.operators.components import components, cut_lineage
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
 BANDS, ROWS, STEP = 28, 4, 16
-BLOCK = 400
+BLOCK, ROUNDS = 400, 2
 
 
 @cache
@@ -65,12 +67,19 @@ def minhashes(keys: np.ndarray, cuts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """(id, k1, k2, n_grams, bands): k1 and k2 name the set, bands are keys of groups of MinHash values."""
+def set_keys(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """128 bits that name each set (sets must not be empty), as rows of two numbers."""
+    return np.column_stack([np.add.reduceat(mix(keys), starts), np.add.reduceat(mix(keys ^ np.uint64(0x1F83D9ABFB41BD6B)), starts)])
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int, n_batches: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, b, the kept columns as kept0 ..., key, low, bands) of each row: key names its set of n-grams (null if that is empty), low
+    holds its MinHash values, bands are keys of groups of them, b is the row's batch."""
+    total = bands * rows
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            texts = [(t.as_py() or "").encode("utf-8", "replace") for t in frame.column(1)]
+            texts = [(t.as_py() or "").encode("utf-8", "replace") for t in frame.column(0)]
             ends = np.cumsum([0, *map(len, texts)])
             first = 0
             while first < len(texts):
@@ -79,24 +88,22 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
                 offsets = ends[first : last + 1] - ends[first]
                 words, cuts = words_of(offsets, np.frombuffer(b"".join(texts[first:last]), np.uint8))
                 keys, at = ngram_sets(words, cuts, n)
-                count = np.diff(at)
-                some = np.flatnonzero(count)
-                k1, k2 = np.zeros(len(count), np.uint64), np.zeros(len(count), np.uint64)
-                band = np.zeros((len(count), bands), np.uint64)
+                some = np.flatnonzero(np.diff(at))
+                name, low, band = (np.full(last - first, None, object) for _ in range(3))
                 if len(some):
-                    starts = at[some]
-                    k1[some], k2[some] = np.add.reduceat(mix(keys), starts), np.add.reduceat(mix(keys ^ np.uint64(0x1F83D9ABFB41BD6B)), starts)
-                    low = minhashes(keys, np.append(starts, len(keys)), bands * rows).reshape(-1, bands, rows)
+                    values = minhashes(keys, np.append(at[some], len(keys)), total)
                     key = np.arange(bands, dtype=np.uint64)[None, :] + np.zeros((len(some), 1), np.uint64)
                     for r in range(rows):
-                        key = mix(key * np.uint64(0xA24BAED4963EE407) + low[:, :, r])
-                    band[some] = key
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(count) + 1, bands), pa.int32()), pa.array(band.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([frame.column(0).slice(first, last - first), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(count.astype(np.int64)), lists], names=["id", "k1", "k2", "n_grams", "bands"])
+                        key = mix(key * np.uint64(0xA24BAED4963EE407) + values.reshape(-1, bands, rows)[:, :, r])
+                    for k, own, v, g in zip(some.tolist(), set_keys(keys, at[some]), values, key.view(np.int64), strict=True):
+                        name[k], low[k], band[k] = own.tobytes(), v.tobytes(), g
+                made = [pa.array(name, pa.binary()), pa.array(low, pa.binary()), pa.array(band, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, last - first) for c in frame.columns[1:]), *made], names=[*frame.schema.names[1:], "key", "low", "bands"])
                 first = last
 
-    rows_in = short_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows_in.mapInArrow(run, "id long, k1 long, k2 long, n_grams long, bands array<long>")
+    rest = short_batches(docs).select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"), dealt_to(n_batches, id_col, text_col).alias("b"), *(F.col(c).alias(f"kept{k}") for k, c in enumerate(keep)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields[1:])
+    return rest.mapInArrow(run, f"{schema}, key binary, low binary, bands array<long>")
 
 
 @cache
@@ -143,6 +150,40 @@ def likely_pairs(x: np.ndarray, y: np.ndarray, same: bool, threshold: float, tol
     return left, right
 
 
+def likely_rows(x: np.ndarray, y: np.ndarray, threshold: float, tolerance: float) -> np.ndarray:
+    """For each row, whether the posterior doesn't rule out that x and y are similar."""
+    left, agree, done = np.arange(len(x)), np.zeros(len(x), np.int64), 0
+    for m, fewest in least_matches(STEP, x.shape[1], threshold, tolerance):
+        agree = agree + (x[left, done:m] == y[left, done:m]).sum(axis=1)
+        keep = agree >= fewest
+        left, agree, done = left[keep], agree[keep], m
+    out = np.zeros(len(x), bool)
+    out[left] = True
+    return out
+
+
+def likely_links(sets: DataFrame, total: int, threshold: float, tolerance: float) -> DataFrame:
+    """(a, b) keys of sets whose components hold both ends of every pair that shares a band and may be similar."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            x, y = (np.frombuffer(b"".join(f.column(c).to_pylist()), np.uint32).reshape(-1, total) for c in (2, 3))
+            yield pa.RecordBatch.from_arrays([f.column(0), f.column(1), pa.array(likely_rows(x, y, threshold, tolerance))], names=["a", "b", "ok"])
+
+    low = sets.select("key", "low")
+    left = sets.select(F.col("key").alias("a"), F.explode("bands").alias("band"))
+    kept = []
+    for _ in range(ROUNDS):
+        lead = left.groupBy("band").agg(F.min("a").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        met = cut_lineage(left.join(lead, "band").filter("a <> b"))
+        pairs = met.select("a", "b").distinct().join(low.select(F.col("key").alias("a"), F.col("low").alias("x")), "a").join(low.select(F.col("key").alias("b"), F.col("low").alias("y")), "b")
+        told = cut_lineage(pairs.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, ok boolean"))
+        kept.append(told.filter("ok").select("a", "b"))
+        left = met.join(told.filter("NOT ok"), ["a", "b"], "left_semi").select("a", "band")
+    lead = left.groupBy("band").agg(F.min("a").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return reduce(DataFrame.union, kept).union(left.join(lead, "band").filter("a <> b").select("a", "b"))
+
+
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Exact sizes of the intersections of the pairs of sorted sets."""
     if len(left) <= 4 * (len(a) + len(b)):
@@ -178,47 +219,53 @@ def _spanning(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return root
 
 
-def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, class_id, set_id, n_links) of each row.
+def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, bands: int = BANDS, rows: int = ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, the kept columns, class_id, set_id, n_links, class_key) of each row.
 
     set_id: the smallest id of a row with the same set of n-grams; class_id: the smallest id that chains of
-    links reach; n_links: other rows whose set has a Jaccard index of the threshold or more.  A null, empty or
-    blank text has no set: its class is its own id and it has no links.  Rows that repeat an id link to each
-    other like any others; an empty table gives no rows; further columns are ignored.
+    links reach; n_links: other rows whose set has a Jaccard index of the threshold or more; class_key: 128 bits that
+    name the class, null for a row without a set.  A null, empty or blank text has no set: its class is its own id and
+    it has no links.  Rows that repeat an id link to each other like any others, and with unlike texts each has the
+    links of its own text (their classes then have the same class_id, but not the same class_key); a null id stays
+    null and never names a class that has an id; an empty table gives no rows; columns that are not kept are ignored.
     """
-    require(docs, id_col, text_col)
-    signed = cut_lineage(signatures(docs, id_col, text_col, n, bands, rows))
-    sets = signed.filter("n_grams > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands"))
-    banded = sets.select("rep", F.explode("bands").alias("band"))
-    lead = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    areas = components(banded.join(lead, "band").filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")))
+    require(docs, id_col, text_col, *keep)
+    n_batches, _ = sizes(docs)
+    total = bands * rows
+    signed = cut_lineage(signatures(docs, id_col, text_col, n, bands, rows, n_batches, keep))
+    named = signed.filter("key IS NOT NULL")
+    # the row of a set whose text is fetched, the set's smallest id, and its values
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "b")
+    sets = named.groupBy("key").agg(F.min(place).alias("at"), F.count("*").alias("size"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+    sets = cut_lineage(sets)
+    areas = components(likely_links(sets, total, threshold, tolerance))
 
     # sets that share an area, with their block in it; blocks are filled by a hash, so their number follows the area's size
-    members = areas.join(sets.select(F.col("rep").alias("node"), "size"), "node")
+    members = areas.join(sets.select(F.col("key").alias("node"), "at", "size"), "node")
     wide = members.groupBy("root").agg(F.count("*").alias("n")).select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(wide, "root").select("node", "root", "size", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    placed = cut_lineage(placed)
-
-    n_batches, _ = sizes(docs)
-    spot = placed.withColumn("b", F.pmod(F.xxhash64("node"), F.lit(n_batches)))
-    total = bands * rows
+    placed = members.join(wide, "root").select("node", "root", "size", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "at.none", F.coalesce("at.id", F.lit(0)).alias("id"), "at.b")
+    spot = cut_lineage(placed)
 
     def gather(part: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(part) and len(asked):
             batch = Batch(part.blob)
-            at = np.searchsorted(batch.ids, asked.node.to_numpy())
-            wanted = {int(a): r for a, r in zip(at, asked.itertuples(index=False), strict=True)}
-            batch.ids, batch.texts = batch.ids[list(wanted)], [batch.texts[a] for a in wanted]
+            # all rows that have a wanted id, as rows that repeat it may hold other texts; the set's key picks the right one
+            wanted = set(asked.id[~asked.none].astype(np.int64))
+            nameless = bool(asked.none.any())
+            at = [k for k, (i, none) in enumerate(zip(batch.ids.tolist(), batch.null, strict=True)) if (nameless if none else i in wanted)]
+            batch.texts = [batch.texts[k] for k in at]
             words, cuts = batch_words(batch)
             keys, starts = ngram_sets(words, cuts, n)
-            low = minhashes(keys, starts, total) if len(wanted) else None
-            for k, r in enumerate(wanted.values()):
-                out.append((r.node, r.root, r.size, r.blocks, r.block, low[k].tobytes(), pack(keys[starts[k] : starts[k + 1]])))
+            some = np.flatnonzero(np.diff(starts))
+            own = {name.tobytes(): k for k, name in zip(some.tolist()[::-1], set_keys(keys, starts[some])[::-1], strict=True)} if len(some) else {}
+            for r in asked.itertuples(index=False):
+                mine = keys[starts[own[r.node]] : starts[own[r.node] + 1]]
+                out.append((r.node, r.root, r.size, r.blocks, r.block, minhashes(mine, np.array([0, len(mine)]), total).tobytes(), pack(mine)))
         return pd.DataFrame(out, columns=["node", "root", "size", "blocks", "block", "low", "grams"])
 
     dealt = batches(docs, n_batches, id_col, text_col)
-    loaded = dealt.groupBy("b").cogroup(spot.groupBy("b")).applyInPandas(gather, "node long, root long, size long, blocks int, block int, low binary, grams binary")
+    loaded = dealt.groupBy("b").cogroup(spot.groupBy("b")).applyInPandas(gather, "node binary, root binary, size long, blocks int, block int, low binary, grams binary")
     # a row for each pair of blocks that its block is part of
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
     tasks = loaded.select("node", "root", "size", "block", "low", "grams", F.explode(pairs).alias("p")).select("*", "p.x", "p.y").drop("p")
@@ -241,16 +288,12 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         some = links > 0
         return pd.DataFrame({"node": node[some], "links": links[some].astype(np.int64), "top": node[root[some]]})
 
-    found = cut_lineage(tasks.groupBy("root", "x", "y").applyInPandas(verify, "node long, links long, top long"))
+    found = cut_lineage(tasks.groupBy("root", "x", "y").applyInPandas(verify, "node binary, links long, top binary"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("node").alias("a"), F.col("top").alias("b")))
-    known = links.join(classes, "node", "left").select(F.col("node").alias("set_id"), "links", F.coalesce("root", "node").alias("root"))
-    by_set = sets.select("k1", "k2", F.col("rep").alias("set_id"), "size").join(known, "set_id", "left")
-    with_text = signed.select("id", "k1", "k2", "n_grams").join(by_set, ["k1", "k2"], "left")
-    some = F.col("n_grams") > 0
-    return with_text.select(
-        F.col("id").alias(id_col),
-        F.when(some, F.coalesce("root", "set_id")).otherwise(F.col("id")).alias("class_id"),
-        F.when(some, F.col("set_id")).otherwise(F.col("id")).alias("set_id"),
-        F.when(some, F.coalesce("links", F.lit(0)) + F.col("size") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
-    )
+    of_set = sets.select("key", "at.id", "size").join(links.join(classes, "node", "left").withColumnRenamed("node", "key"), "key", "left").withColumn("class_key", F.coalesce("root", "key"))
+    heads = of_set.groupBy("class_key").agg(F.min("id").alias("class_id"))
+    of_set = of_set.join(heads, "class_key").select("key", "class_key", F.col("id").alias("set_id"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    every = signed.select("id", *(f"kept{k}" for k in range(len(keep))), "key").join(of_set, "key", "left")
+    own = lambda c: F.when(F.col("key").isNotNull(), F.col(c)).otherwise(F.col("id")).alias(c)
+    return every.select(F.col("id").alias(id_col), *(F.col(f"kept{k}").alias(c) for k, c in enumerate(keep)), own("class_id"), own("set_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "class_key")

@@ -182,14 +182,16 @@ def learn_decision_list(rows: list[tuple], features: tuple[str, ...] = FEATURES,
 def labelled_statistics(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> list[tuple]:
     """(bad, features ...) of at most `rows` labelled texts: those whose id has the smallest hash.
 
-    The sample's ids are at most `rows` rows, which bounds what is broadcast and what comes to the driver.
+    The sample's ids are at most `rows` rows, which bounds what is broadcast; of texts that repeat an id the one with
+    the smallest hash counts, which bounds what comes to the driver.
     """
     require(labels, id_col, label_col)
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
-    stats = with_statistics(chosen, "_text").filter(~base_failed())
-    return [tuple(r) for r in stats.select((F.col("_label") == 0).cast("int"), *FEATURES).limit(2 * rows).collect()]
+    stats = with_statistics(chosen.withColumn("_hash", F.xxhash64("_text")), "_text").filter(~base_failed())
+    each = stats.groupBy("_id").agg(F.min(F.struct("_hash", (F.col("_label") == 0).cast("int").alias("bad"), *FEATURES)).alias("_row"))
+    return [tuple(r) for r in each.select("_row.bad", *(f"_row.{f}" for f in FEATURES)).collect()]
 
 
 def apply_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:

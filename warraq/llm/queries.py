@@ -25,7 +25,7 @@ def op3_quality_rules(spark, sf_dir):
 
 
 def op4_ngram_jaccard_join(spark, sf_dir):
-    return near_duplicates.linked_documents(read_table(spark, sf_dir, "documents"))
+    return near_duplicates.linked_documents(read_table(spark, sf_dir, "documents")).drop("class_key")
 
 
 def op5_best_fit_packing(spark, sf_dir):

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 
 from warraq.llm._exchange import ANSWERS, QUESTIONS, Batch, PrefixHash, Question, answered, batches, has_variants, is_first, mix, question_frame, sizes
@@ -91,14 +92,13 @@ class Suffixes:
     def first_questions(self) -> list[Question]:
         anchors, at = np.unique(self.anchor, return_index=True)
         group = np.searchsorted(anchors, self.anchor)
-        one = (self.content >> np.uint64(24)).astype(np.uint64) | np.uint64(1)
         many = np.zeros(len(anchors), bool)
         np.logical_or.at(many, group, self.content != self.content[at][group])
-        contents = np.where(many, np.uint64(0), one[at])
+        contents = np.where(many, np.uint64(0), self.content[at])
         self._group, self._many = group, many
         # runs stand in order of document and start, so the first index of a content is its first place
         runs, self.first_run, self.run_of = np.unique(self.content, return_index=True, return_inverse=True)
-        return [Question(_ANCHORS, anchors, self.n_buckets, *planes(contents)), Question(_RUNS, runs, self.n_buckets, self.batch.ids[self.doc[self.first_run]], self.start[self.first_run].astype(np.uint32))]
+        return [Question(_ANCHORS, anchors, self.n_buckets, contents), Question(_RUNS, runs, self.n_buckets, self.batch.ids[self.doc[self.first_run]], self.start[self.first_run].astype(np.uint32))]
 
     def settle_runs(self, answers: pd.DataFrame) -> None:
         """self.repeated: runs that repeat an earlier run; self.open: first runs whose anchor has other surroundings."""
@@ -140,11 +140,6 @@ class Suffixes:
         return doc[order], low[order], high[order]
 
 
-def planes(contents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """40 bits as 8 and 32 (0 stays 0)."""
-    return (contents >> np.uint64(32)).astype(np.uint8), contents.astype(np.uint32)
-
-
 def merged(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of ranges sorted by their first byte."""
     out: list[list[int]] = []
@@ -157,7 +152,7 @@ def merged(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
 
 
 _KINDS = {
-    _ANCHORS: (("u8", "u1", "u4"), lambda k, high, low: has_variants(k, high.astype(np.uint64) << np.uint64(32) | low)),
+    _ANCHORS: (("u8", "u8"), has_variants),
     _RUNS: (("u8", "i8", "u4"), is_first),
     _WINDOWS: (("u8", "i8", "u4"), is_first),
 }
@@ -166,7 +161,7 @@ _KINDS = {
 def repeated_spans(docs: DataFrame, output, schema: str, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, anchor: int = ANCHOR) -> DataFrame:
     """output(id, text as bytes, [(first, after last)]) -> a row of schema, for each document.
 
-    Null texts count as empty.  Rows that repeat an id are documents of their own, ordered by their text.
+    Null texts count as empty; a null id stays null and comes before all others.  Rows that repeat an id are documents of their own, ordered by their text.
     Whole documents are shuffled once, compressed; an exchange that several passes read is reused.
     """
     n_batches, n_buckets = sizes(docs)
@@ -187,8 +182,10 @@ def repeated_spans(docs: DataFrame, output, schema: str, id_col: str = "doc_id",
         s.settle_runs(answers)
         doc, low, high = s.repeated_windows(answers)
         cuts = np.searchsorted(doc, np.arange(len(batch.ids) + 1))
-        rows = [output(int(i), t, merged(low[cuts[k] : cuts[k + 1]], high[cuts[k] : cuts[k + 1]])) for k, (i, t) in enumerate(zip(batch.ids, batch.texts, strict=True))]
-        return pd.DataFrame(rows, columns=names)
+        rows = [output(i, t, merged(low[cuts[k] : cuts[k + 1]], high[cuts[k] : cuts[k + 1]])) for k, (i, t) in enumerate(zip(batch.ids.tolist(), batch.texts, strict=True))]
+        out = pd.DataFrame(rows, columns=names)
+        out[names[0]] = batch.named()
+        return out
 
     by_batch = dealt.groupBy("b")
     runs = answered(by_batch.applyInPandas(ask_first, QUESTIONS), _KINDS)
@@ -227,12 +224,15 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 
 
 def cleaned_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text without its repeated byte strings) of each document."""
+    """(id, text without its repeated byte strings, before: xxhash64 of the whole text) of each document.
+
+    Rows that repeat an id with other texts are told apart by `before`, which Spark's xxhash64 gives as well.
+    """
 
     def output(i: int, text: bytes, spans: list[tuple[int, int]]) -> tuple:
-        return i, kept_bytes(text, whole_characters(text, spans)).decode("utf-8", "replace")
+        return i, kept_bytes(text, whole_characters(text, spans)).decode("utf-8", "replace"), int(np.uint64(xxhash.xxh64_intdigest(text, 42)).view(np.int64))
 
-    return repeated_spans(docs, output, f"{id_col} long, {text_col} string", id_col, text_col)
+    return repeated_spans(docs, output, f"{id_col} long, {text_col} string, before long", id_col, text_col)
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
