@@ -252,9 +252,9 @@ LABELLED = (
     # faint signs: the head of an article, or links in it
     "3/3o3=0 9o1ah=1 14o1a=1 60a=1 8o3=0", "8o1a=1 30o1a=1 5/5o1a=0 2/2o1a=0 3/3o1a=0 66a=1", "1/1o1=0 2/2o1=0 1/1o1=0 6o1h=1 18o1=1 90=1",
     # pages without any: links, words and neighbours decide
-    "1/1=0 1/1=0 2/2=0 8h=1 90=1 75/3=1 3h=1 31=1 5/5=0 4/4=0 6/6=0 3=0", "3/3=0 7h=1 110/6=1 10/8=0 9/9=0 12/10=0",
-    "1/1=0 1/1=0 9=0 11h=1 100=1 131=1 6=1 95=1 8=0", "1/1=0 1/1=0 14=0 5h=1 39=1 2=1 101=1", "1/1=0 20=0 9h=1 140=1 9=0", "1/1=0 5=0 12h=1 71=1 1=1 166=1 90=1",
-    "1/1=0 2/2=0 150=1 140=1 99=1 120=1 1/1=0 9=0", "3/3=0 9h=1 6=1 164=1 6=1 3/3=0", "4/4=0 5h=1 100=1 15/15=0 95=1 4/4=0 5=0",
+    "1/1=0 1/1=0 2/2=0 8h=1 90=1 75/3=1 3h=1 31=1 5/5=0 4/4=0 6/6=0", "3/3=0 7h=1 110/6=1 10/8=0 9/9=0 12/10=0",
+    "1/1=0 1/1=0 9=0 11h=1 100=1 131=1 6=1 95=1", "1/1=0 1/1=0 14=0 5h=1 39=1 2=1 101=1", "1/1=0 20=0 9h=1 140=1", "1/1=0 5=0 12h=1 71=1 1=1 166=1 90=1",
+    "1/1=0 2/2=0 150=1 140=1 99=1 120=1 1/1=0", "3/3=0 9h=1 6=1 164=1 6=1 3/3=0", "4/4=0 5h=1 100=1 15/15=0 95=1 4/4=0",
     "6/6=0 40/40=0", "4h=1 30/12=1 44=1", "10o3=0 3h=1 16=1 9=1 11=1 3/3=0 2/2=0",
     "1/1o3=0 19=1 19=1 19=1", "1/1o2=0 6h=1 22=1 12=1", "150=1 161=1 45=1", "9h=1 30=1 4=1", "7=1", "120a=1 6a=1", "7ah=1 150a=1 11a=1", "140a=1 20a=1", "1/1=0 13h=1 44=1 17=1 21=1",
 )
