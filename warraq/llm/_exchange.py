@@ -9,6 +9,7 @@ task gets more than (batches x 1) entries for the most frequent key, and answers
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from warraq.llm._common import input_bytes, require, short_batches
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
 #: Text that a task holds before it packs it, so that a blob has more than a few documents.
 HELD_BYTES = 16 << 20
+#: Text of a task; the number of tasks follows the input, so none reads more as it grows.
+TASK_BYTES = 24 << 20
 #: Text bytes for each byte of a compressed columnar file, for the number of batches.
 EXPANSION = 2
 
@@ -89,6 +92,11 @@ def sizes(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[int, int]:
     return max(1, -(-total // batch_bytes)), max(1, -(-total // BUCKET_BYTES))
 
 
+def tasks_for(docs: DataFrame) -> int:
+    """Tasks of a step over all texts: so many that each has TASK_BYTES of them at any size, and all cores have work."""
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-EXPANSION * input_bytes(docs) // TASK_BYTES))
+
+
 def dealt_to(n_batches: int, id_col: str, text_col: str) -> Column:
     """The batch of a row: by its id, or by its text where it has none."""
     return F.pmod(F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("long"))).otherwise(F.xxhash64(F.col(text_col).cast("string"))), F.lit(n_batches))
@@ -201,14 +209,16 @@ def question_frame(b: int, questions: list[Question]) -> pd.DataFrame:
     return pd.DataFrame([r for q in questions for r in q.rows(b)], columns=["bucket", "b", "kind", "payload"])
 
 
-def answered(questions: DataFrame, kinds: dict[int, tuple[tuple[str, ...], Callable[..., np.ndarray]]]) -> DataFrame:
+def answered(questions: DataFrame, kinds: dict[int, tuple[tuple[str, ...], Callable[..., np.ndarray]] | None], n_tasks: int) -> DataFrame:
     """Answers of each bucket: kinds[k] = (types of the packed arrays, function of the joined arrays).
 
     The function gets the arrays of all batches end to end and returns an answer for each entry: a boolean
-    (packed to bits), a number or a row of numbers.
+    (packed to bits), a number or a row of numbers.  None passes rows on as they are: notes of a batch to itself.
     """
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        if kinds[key[1]] is None:
+            return part[["b", "bucket", "kind", "payload"]]
         types, work = kinds[key[1]]
         arrays = [unpack(p, *types) for p in part.payload]
         for a in arrays:
@@ -220,7 +230,17 @@ def answered(questions: DataFrame, kinds: dict[int, tuple[tuple[str, ...], Calla
             out.append(pack(*piece.T) if piece.ndim == 2 else press.compress(np.packbits(piece).tobytes() if piece.dtype == bool else piece.tobytes()))
         return pd.DataFrame({"b": part.b, "bucket": key[0], "kind": key[1], "payload": out})
 
-    return questions.groupBy("bucket", "kind").applyInPandas(run, ANSWERS)
+    return questions.repartition(n_tasks, "bucket", "kind").groupBy("bucket", "kind").applyInPandas(run, ANSWERS)
+
+
+def note(b: int, kind: int, what: object) -> pd.DataFrame:
+    """A row by which a batch tells itself something for a later step."""
+    return pd.DataFrame({"bucket": [b], "b": [b], "kind": [kind], "payload": [zstandard.ZstdCompressor(level=1).compress(pickle.dumps(what))]})
+
+
+def noted(answers: pd.DataFrame, kind: int) -> list:
+    """What a batch told itself."""
+    return [pickle.loads(zstandard.ZstdDecompressor().decompress(p)) for p in answers.payload[answers.kind == kind]]
 
 
 def is_first(keys: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.ndarray:

@@ -248,16 +248,16 @@ LABELLED = (
     "1/1o3=0 2/2o3=0 9o2=0 12ah=1 84a=1 65a=1 1a=1 14o3=0 6/6o3=0", "3/3o3=0 4ah=1 33a=1 2a=1 40/2a=1 7ah=1 58a=1 22o2=0 18o3=0",
     "2o3=0 8o2h=0 35o2=0 28/2o2=0 11ah=1 5/5a=1 52/20a=1 3o2ah=0 30o2a=0 6/4o2a=0", "6ah=1 20a=1 9o2a=0 11/11o2a=0 16o3=0",
     "30o3=0 6h=1 55=1 60o2=0", "2/2o3=0 5ah=1 26/9a=1 14/4a=1 90a=1 6/6o2a=0", "7ah=1 140a=1 125a=1 3a=1 9o3=0",
-    "5o2=0 70a=1 75a=1 80o2a=0", "1/1o3=0 4a=1", "1/1o3=0 20a=1 80a=1", "1/1=0 33=1 44=1 60=1", "1/1o3=0 12a=1 9ah=1 44a=1", "1/1o3=0 2/2o3=0 6a=1", "3/3o3=0 15a=1 9o3=0", "1/1=0 1/1=0 2a=1", "1/1o2=0 5/5a=1 4a=1 8o3=0",
-    "20o2=0 90o3=0", "12a=1", "5ah=1 6/5a=1 30a=1", "6o3=0 44=1 6o2=0 80=1 100/90=0",
+    "1/1o3=0 4a=1", "1/1o3=0 20a=1 80a=1", "1/1=0 33=1 44=1 60=1", "1/1o3=0 12a=1 9ah=1 44a=1", "1/1o3=0 2/2o3=0 6a=1", "3/3o3=0 15a=1 9o3=0", "1/1=0 1/1=0 2a=1", "1/1o2=0 5/5a=1 4a=1 8o3=0",
+    "20o2=0 90o3=0", "6/5a=1 30a=1", "6o3=0 44=1 6o2=0 80=1 100/90=0",
     # faint signs: the head of an article, or links in it
     "3/3o3=0 9o1ah=1 14o1a=1 60a=1 8o3=0", "8o1a=1 30o1a=1 5/5o1a=0 2/2o1a=0 3/3o1a=0 66a=1", "1/1o1=0 2/2o1=0 1/1o1=0 6o1h=1 18o1=1 90=1",
     # pages without any: links, words and neighbours decide
     "1/1=0 1/1=0 2/2=0 8h=1 90=1 75/3=1 3h=1 31=1 5/5=0 4/4=0 6/6=0", "3/3=0 7h=1 110/6=1 10/8=0 9/9=0 12/10=0",
-    "1/1=0 1/1=0 9=0 11h=1 100=1 131=1 6=1 95=1", "1/1=0 1/1=0 14=0 5h=1 39=1 2=1 101=1", "1/1=0 20=0 9h=1 140=1", "1/1=0 5=0 12h=1 71=1 1=1 166=1 90=1",
-    "1/1=0 2/2=0 150=1 140=1 99=1 120=1 1/1=0", "3/3=0 9h=1 6=1 164=1 6=1 3/3=0", "4/4=0 5h=1 100=1 15/15=0 95=1 4/4=0",
+    "1/1=0 1/1=0 9=0 11h=1 100=1 131=1 6=1 95=1", "3/3=0 14=0 5h=1 39=1", "4/4=0 20=0 9h=1 140=1", "2/2=0 5=0 12h=1 71=1",
+    "2/2=0 150=1 140=1 1/1=0", "3/3=0 9h=1 6=1 164=1 6=1 3/3=0", "4/4=0 5h=1 100=1 15/15=0 95=1 4/4=0",
     "6/6=0 40/40=0", "4h=1 30/12=1 44=1", "10o3=0 3h=1 16=1 9=1 11=1 3/3=0 2/2=0",
-    "1/1o3=0 19=1 19=1 19=1", "150=1 161=1 45=1", "9h=1 30=1 4=1", "7=1", "120a=1 6a=1", "7ah=1 150a=1 11a=1", "140a=1 20a=1", 
+    "1/1o3=0 19=1 19=1 19=1", "44=1 15=1 5h=1 60=1", "1h=1 2=1 1h=1 9=1", "1ah=1 2a=1 1ah=1 9a=1", "9h=1 8=1 6h=1 33=1", "40a=1 12a=1 6ah=1 18a=1 4ah=1 70a=1", "5ah=1 9a=1 3ah=1 25a=1 5ah=1 1a=1 4ah=1", "140a=1 20a=1", 
 )
 
 

@@ -1,37 +1,78 @@
 """Stupid-backoff scores of documents under n-gram counts of the whole corpus.
 
-Counts of n-grams lie in buckets by hash; each batch of documents asks for its distinct n-grams, with how
-often it holds them, and gets the corpus counts.  An n-gram is in the model if the corpus holds it at least
-`min_count` times, so it can be only if both n-grams a word shorter are, and orders above two are asked for
-in further rounds among those alone.
+1. Each batch of documents counts its distinct n-grams and deals them by hash into buckets.
+2. A count table has one packed row for each order and bucket: all words, and the longer n-grams that the corpus
+   holds at least `min_count` times, in order, with their counts summed over all batches.
+3. The n-grams of each batch are joined with the count table by order and bucket; counts come back to the batch.
+4. Scores of words are summed by document; the number of all words is one aggregate over the result.
+
+An n-gram is in the model if the corpus holds it at least `min_count` times, so it can be only if both n-grams
+a word shorter are, and orders above two are counted and joined in further rounds among those alone.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from warraq.llm._exchange import QUESTIONS, Batch, Question, answered, batches, question_frame, sizes
+from warraq.llm._exchange import ANSWERS, QUESTIONS, Batch, Question, batches, pack, question_frame, sizes, tasks_for, unpack
 from warraq.llm._words import batch_words, gram_hashes
+from warraq.operators.components import cut_lineage
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
 #: Larger than elsewhere, as n-grams that a batch repeats are sent once.
 BATCH_BYTES = 8 << 20
 
 
-def _total(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    starts = np.flatnonzero(np.concatenate(([True], np.diff(k) != 0)))
-    sums = np.repeat(np.add.reduceat(counts[order], starts), np.diff(np.concatenate((starts, [len(k)]))))
-    out = np.empty(len(keys), np.uint64)
-    out[order] = sums
-    return out
+TABLE = "kind int, bucket long, payload binary"
+
+
+def count_table(questions: DataFrame, min_count: int, n_tasks: int) -> DataFrame:
+    """(kind: the order, bucket, payload: n-grams in order and their counts, packed) of all words, and of longer
+    n-grams that are there often enough.
+
+    questions: n-grams of each batch by order and bucket, with how often the batch holds them.
+    """
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        grams, counts = [], []
+        for raw in part.payload:
+            steps, own = unpack(raw, "u8", "u8")
+            grams.append(np.cumsum(steps, dtype=np.uint64))
+            counts.append(own)
+        order = np.argsort(np.concatenate(grams), kind="stable")
+        grams = np.concatenate(grams)[order]
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(grams) != 0)))
+        sums = np.add.reduceat(np.concatenate(counts)[order], starts)
+        often = sums >= np.uint64(min_count if key[1] > 1 else 1)
+        return pd.DataFrame({"kind": [key[1]], "bucket": [key[0]], "payload": [pack(grams[starts][often], sums[often])]})
+
+    return questions.repartition(n_tasks, "bucket", "kind").groupBy("bucket", "kind").applyInPandas(run, TABLE)
+
+
+def looked_up(questions: DataFrame, table: DataFrame, n_tasks: int) -> DataFrame:
+    """Answers to each batch: the counts of its n-grams in the order of its question, 0 where the table has none."""
+
+    def run(key: tuple, part: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        grams, counts = unpack(rows.payload[0], "u8", "u8") if len(rows) else (np.empty(0, np.uint64), np.empty(0, np.uint64))
+        press, out = zstandard.ZstdCompressor(level=1), []
+        for raw in part.payload:
+            asked = np.cumsum(unpack(raw, "u8", "u8")[0], dtype=np.uint64)
+            found = np.zeros(len(asked), np.uint64)
+            if len(grams):
+                at = np.minimum(np.searchsorted(grams, asked), len(grams) - 1)
+                found = np.where(grams[at] == asked, counts[at], np.uint64(0))
+            out.append(press.compress(found.tobytes()))
+        return pd.DataFrame({"b": part.b, "bucket": key[0], "kind": key[1], "payload": out})
+
+    return questions.repartition(n_tasks, "bucket", "kind").groupBy("bucket", "kind").cogroup(table.groupBy("bucket", "kind")).applyInPandas(run, ANSWERS)
 
 
 class Grams:
-    """n-grams of a batch and their corpus counts as far as they are answered; kind 0 counts all words."""
+    """n-grams of a batch and their corpus counts as far as they are answered; 0 where the table has none."""
 
     def __init__(self, batch: Batch, n_buckets: int, order: int, min_count: int):
         self.n_buckets, self.min_count = n_buckets, min_count
@@ -55,13 +96,10 @@ class Grams:
         counts[at] = question.answer(answers, "u8").astype(np.int64)[inverse]
         self.counts.append(counts)
 
-    def words_question(self) -> Question:
-        return Question(0, np.zeros(1, np.uint64), self.n_buckets, np.array([len(self.place)], np.uint64))
-
-    def scores(self, answers: pd.DataFrame, backoff: float) -> tuple[np.ndarray, np.ndarray]:
-        """(sum of log scores, steps of backing off) of each document."""
-        total = int(self.words_question().answer(answers, "u8")[0])
-        value = self.counts[0] / max(total, 1)
+    def scores(self, backoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sum of log scores but for the division by all words, words so divided, steps of backing off) of each document."""
+        value = self.counts[0].astype(float)
+        single = np.ones(len(value), bool)
         steps = np.zeros(len(value), np.int64)
         for n in range(2, len(self.counts) + 1):
             seen = self.counts[n - 1] >= self.min_count
@@ -71,9 +109,10 @@ class Grams:
             steps += has_context & ~seen
             value[1:] = np.where(seen[1:], ratio, value[1:])
             steps[seen] = 0
+            single &= ~seen
         owner = np.repeat(np.arange(len(self.cuts) - 1), np.diff(self.cuts))
         n_docs = len(self.cuts) - 1
-        return np.bincount(owner, np.log(value), n_docs), np.bincount(owner, steps, n_docs).astype(np.int64)
+        return np.bincount(owner, np.log(value), n_docs), np.bincount(owner, single, n_docs).astype(np.int64), np.bincount(owner, steps, n_docs).astype(np.int64)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
@@ -87,7 +126,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stays null.
     """
     n_batches, n_buckets = sizes(docs, BATCH_BYTES)
-    dealt = batches(docs, n_batches, id_col, text_col).groupBy("b")
+    n_tasks = tasks_for(docs)
+    dealt = batches(docs, n_batches, id_col, text_col).repartition(n_tasks, "b").groupBy("b")
 
     def heard(part: pd.DataFrame, answers: pd.DataFrame, upto: int) -> tuple[Batch, Grams]:
         batch = Batch(part.blob)
@@ -98,7 +138,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def ask_first(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         grams = Grams(Batch(part.blob), n_buckets, order, min_count)
-        return question_frame(key[0], [grams.words_question(), *(grams.question(n)[0] for n in range(1, min(order, 2) + 1))])
+        return question_frame(key[0], [grams.question(n)[0] for n in range(1, min(order, 2) + 1)])
 
     def ask(n: int):
         def run(part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -108,15 +148,18 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def finish(part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         batch, grams = heard(part, answers, order)
-        logs, steps = grams.scores(answers, backoff)
-        return pd.DataFrame({id_col: batch.named(), "n_words": np.diff(grams.cuts), "log_score": logs, "n_backoffs": steps})
+        logs, single, steps = grams.scores(backoff)
+        return pd.DataFrame({id_col: batch.named(), "n_words": np.diff(grams.cuts), "_log": logs, "_single": single, "n_backoffs": steps})
+
+    def known_to(questions: DataFrame) -> DataFrame:
+        return looked_up(questions, count_table(questions, min_count, n_tasks), n_tasks)
 
-    kinds = {n: (("u8", "u8"), _total) for n in range(order + 1)}
-    known = answered(dealt.applyInPandas(ask_first, QUESTIONS), kinds)
+    known = known_to(dealt.applyInPandas(ask_first, QUESTIONS))
     for n in range(3, order + 1):
-        more = dealt.cogroup(known.groupBy("b")).applyInPandas(ask(n), QUESTIONS)
-        known = known.unionByName(answered(more, kinds))
-    return dealt.cogroup(known.groupBy("b")).applyInPandas(finish, f"{id_col} long, n_words long, log_score double, n_backoffs long")
+        known = known.unionByName(known_to(dealt.cogroup(known.groupBy("b")).applyInPandas(ask(n), QUESTIONS)))
+    scored = cut_lineage(dealt.cogroup(known.groupBy("b")).applyInPandas(finish, f"{id_col} long, n_words long, _log double, _single long, n_backoffs long"))
+    words = scored.agg(F.greatest(F.sum("n_words"), F.lit(1)).alias("_all"))  # one row
+    return scored.crossJoin(F.broadcast(words)).select(id_col, "n_words", (F.col("_log") - F.col("_single") * F.log("_all")).alias("log_score"), "n_backoffs")
 
 
 ORACLE = """

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from warraq.llm._common import require, short_batches
-from warraq.llm._exchange import Batch, batches, dealt_to, mix, pack, sizes, unpack
+from warraq.llm._exchange import Batch, batches, dealt_to, mix, pack, sizes, tasks_for, unpack
 from warraq.llm._words import batch_words, gram_hashes, words_of
 from warraq.operators.components import components, cut_lineage
 
@@ -264,7 +264,7 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 out.append((r.node, r.root, r.size, r.blocks, r.block, minhashes(mine, np.array([0, len(mine)]), total).tobytes(), pack(mine)))
         return pd.DataFrame(out, columns=["node", "root", "size", "blocks", "block", "low", "grams"])
 
-    dealt = batches(docs, n_batches, id_col, text_col)
+    dealt = batches(docs, n_batches, id_col, text_col).repartition(tasks_for(docs), "b")
     loaded = dealt.groupBy("b").cogroup(spot.groupBy("b")).applyInPandas(gather, "node binary, root binary, size long, blocks int, block int, low binary, grams binary")
     # a row for each pair of blocks that its block is part of
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))

@@ -23,7 +23,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 
-from warraq.llm._exchange import ANSWERS, QUESTIONS, Batch, PrefixHash, Question, answered, batches, has_variants, is_first, mix, question_frame, sizes
+from warraq.llm._exchange import ANSWERS, QUESTIONS, Batch, PrefixHash, Question, answered, batches, has_variants, is_first, mix, question_frame, sizes, tasks_for
 
 THRESHOLD, ANCHOR = 100, 32
 _PLACE_BITS = 24
@@ -165,7 +165,8 @@ def repeated_spans(docs: DataFrame, output, schema: str, id_col: str = "doc_id",
     Whole documents are shuffled once, compressed; an exchange that several passes read is reused.
     """
     n_batches, n_buckets = sizes(docs)
-    dealt = batches(docs, n_batches, id_col, text_col)
+    n_tasks = tasks_for(docs)
+    dealt = batches(docs, n_batches, id_col, text_col).repartition(n_tasks, "b")
     names = [f.split()[0] for f in schema.split(", ")]
 
     def ask_first(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -188,8 +189,8 @@ def repeated_spans(docs: DataFrame, output, schema: str, id_col: str = "doc_id",
         return out
 
     by_batch = dealt.groupBy("b")
-    runs = answered(by_batch.applyInPandas(ask_first, QUESTIONS), _KINDS)
-    windows = answered(by_batch.cogroup(runs.groupBy("b")).applyInPandas(ask_windows, QUESTIONS), _KINDS)
+    runs = answered(by_batch.applyInPandas(ask_first, QUESTIONS), _KINDS, n_tasks)
+    windows = answered(by_batch.cogroup(runs.groupBy("b")).applyInPandas(ask_windows, QUESTIONS), _KINDS, n_tasks)
     return by_batch.cogroup(runs.unionByName(windows).groupBy("b")).applyInPandas(finish, schema)
 
 
