@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Each curve projects the vectors onto a few random orthogonal directions, shifts the grid by a random
-offset and orders the cells along a Hilbert curve.  Keys are cut into blocks of equal share; a query looks
-at its own block and at `reach` blocks on both sides in each ordering.  Candidates of all orderings are
-merged and ranked by their exact inner product.  A window is the same share of the table at every size, and
-a block never holds more than `block_rows` vectors in expectation.
+offset and orders the cells along a Hilbert curve.  Keys are cut into ranges of equal share, by quantiles that
+Spark takes over all keys; a query looks at its own range and at `reach` ranges on both sides in each ordering.
+Candidates of all orderings are merged and ranked by their exact inner product.
+
+How wide a window is follows from the vectors: on the fitting sample, the true neighbours of some of its rows give the
+share of the ordering within which `target` of them are found.  Vectors with structure need narrow windows,
+which stay narrow as the table grows; without any, most of the table has to be looked at for the same recall.
 """
 
 from __future__ import annotations
@@ -18,9 +21,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from warraq.llm._common import require
+from warraq.operators.components import cut_lineage
 
 CURVES, DIRECTIONS, BITS = 16, 8, 7
-BLOCKS, REACH_SHARE, BLOCK_ROWS, FIT_ROWS = 40, 0.05, 20_000, 20_000
+TARGET, REACH, BLOCK_ROWS, FIT_ROWS, PROBES = 0.97, 2, 20_000, 20_000, 200
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -50,19 +54,19 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 @dataclass
 class Curves:
-    """Orderings fitted on a bounded sample: directions, offset and scale of the grid, and block bounds of each."""
+    """Orderings fitted on a bounded sample: directions, offset and scale of the grid, and the bounds of each ordering's ranges."""
 
     directions: list[np.ndarray]
     low: list[np.ndarray]
     width: list[np.ndarray]
     bounds: list[np.ndarray]
-    reach: int
     bits: int
+    reach: int = REACH
 
     @classmethod
-    def fit(cls, sample: np.ndarray, blocks: int, reach: int, curves: int = CURVES, directions: int = DIRECTIONS, bits: int = BITS, seed: int = 11) -> Curves:
+    def fit(cls, sample: np.ndarray, curves: int = CURVES, directions: int = DIRECTIONS, bits: int = BITS, seed: int = 11) -> Curves:
         rng, dim = np.random.default_rng(seed), sample.shape[1]
-        out = cls([], [], [], [], reach, bits)
+        out = cls([], [], [], [], bits)
         for _ in range(curves):
             d = np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, : min(directions, dim)]
             y = sample @ d
@@ -70,9 +74,6 @@ class Curves:
             out.directions.append(d)
             out.low.append(y.mean(axis=0) - spread * (0.5 + 0.5 * rng.random(y.shape[1])))
             out.width.append(1.5 * spread)
-            out.bounds.append(np.empty(0, np.int64))
-            keys = np.sort(out.keys(sample, len(out.directions) - 1))
-            out.bounds[-1] = keys[(np.arange(1, blocks) * len(keys)) // blocks]
         return out
 
     def keys(self, x: np.ndarray, curve: int) -> np.ndarray:
@@ -82,6 +83,23 @@ class Curves:
     def block(self, x: np.ndarray, curve: int) -> np.ndarray:
         return np.searchsorted(self.bounds[curve], self.keys(x, curve), side="right")
 
+    def window(self, sample: np.ndarray, k: int, target: float = TARGET, probes: int = PROBES) -> float:
+        """The share of the orderings, on each side, that holds `target` of the k nearest of some rows of the sample."""
+        n = len(sample)
+        asked = np.arange(0, n, max(1, n // probes))
+        near = sample[asked] @ sample.T
+        near[np.arange(len(asked)), asked] = -np.inf
+        k = min(k, n - 1)
+        if k < 1:
+            return 1.0
+        true = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        apart = np.full(true.shape, n)
+        for c in range(len(self.directions)):
+            place = np.empty(n, np.int64)
+            place[np.argsort(self.keys(sample, c), kind="stable")] = np.arange(n)
+            apart = np.minimum(apart, np.abs(place[true] - place[asked][:, None]))
+        return float(np.quantile(apart, target, method="higher") + 1) / n
+
 
 def usable(vector: str, dim: int | None = None) -> Column:
     """Not null, of the right length, without null or non-finite components, and not all zero."""
@@ -111,14 +129,15 @@ def best_of(q: np.ndarray, x: np.ndarray, first_id: np.ndarray, k: int) -> Itera
             yield chosen[order], exact[order]
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, blocks: int = BLOCKS, reach_share: float = REACH_SHARE, fit_rows: int = FIT_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, target: float = TARGET, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of each query row, itself left out.
 
     Ties go to the smaller id; a query with fewer than k candidates gets them all; copies of a vector are
     searched once and only their k + 1 smallest ids can rank, so a vector that fills a third of the table
     costs no more than another; vectors that are null, zero, of another length than most, or that hold null
     or non-finite components take no part; an empty table gives no rows; further columns are ignored.
-    Fitting takes at most fit_rows vectors (those with the smallest hash of their id) to the driver.
+    Fitting takes at most fit_rows vectors (those with the smallest hash of their id) to the driver; windows are as
+    wide as `target` of their true neighbours need.
     """
     require(vectors, id_col, vector_col)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), is_query.alias("is_q")).filter(usable("v") & F.col("id").isNotNull())
@@ -130,15 +149,35 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     lengths = np.array([len(r["v"]) for r in sample])
     dim = int(np.bincount(lengths).argmax())
     rows = rows.filter(F.size("v") == dim).withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
-    n = rows.count()
-    blocks = max(1, min(max(blocks, -(-n // BLOCK_ROWS)), len(sample) // 4 or 1))
-    model = Curves.fit(np.array([r["v"] for r in sample if len(r["v"]) == dim], dtype=float), blocks, max(1, round(reach_share * blocks)), curves)
+    fitted = np.unique(np.array([r["v"] for r in sample if len(r["v"]) == dim], dtype=float), axis=0)
+    model = Curves.fit(fitted, curves)
+    share = model.window(fitted, k, target)
 
     first = Window.partitionBy("k1", "k2").orderBy("id")
     copies = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
     things = copies.groupBy("k1", "k2").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("id")).alias("ids"))
     asked = rows.filter("is_q").groupBy("k1", "k2").agg(F.first("v").alias("v"))
 
+    # ranges: a window is REACH of them on each side, or more where one would hold over BLOCK_ROWS vectors
+    things = cut_lineage(things)
+    n = things.count()
+    blocks = max(1, round(REACH / share), -(-n // BLOCK_ROWS))
+    blocks = min(blocks, max(1, n // 64))
+    model.reach = max(1, int(np.ceil(share * blocks - 1e-9)))
+    model.bounds = [np.empty(0, np.int64)] * curves
+    if blocks > 1:
+
+        def key_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                x = np.array(frame.v.tolist(), dtype=float).reshape(len(frame), dim)
+                for c in range(curves):
+                    yield pd.DataFrame({"curve": c, "key": model.keys(x, c)})
+
+        cuts = [k / blocks for k in range(1, blocks)]
+        quantiles = things.select("v").mapInPandas(key_rows, "curve int, key long").groupBy("curve").agg(F.percentile_approx("key", cuts, 10 * blocks).alias("cuts"))
+        for r in quantiles.collect():  # a row for each ordering
+            model.bounds[r["curve"]] = np.array(r["cuts"], np.int64)
+
     def deal(reach: int):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
