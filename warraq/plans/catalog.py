@@ -453,7 +453,20 @@ def recent_queries(spark, sf_dir):
 # --- passages -------------------------------------------------------------------------------------------
 
 
-@query()
+CHUNKS_SQL = (
+    "WITH c AS (SELECT doc_id, source, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS x FROM documents)"
+    ", p AS (SELECT doc_id, source, x, list_filter(string_split(regexp_replace(x, '([.!؟؛])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS ps FROM c WHERE x <> '')"
+    # a fold over sentences: pieces closed so far and the open one
+    ", f AS (SELECT *, list_reduce(list_prepend({'closed': []::VARCHAR[], 'open': ''}, list_transform(ps, lambda s: {'closed': []::VARCHAR[], 'open': s})), lambda a, s: {"
+    "'closed': list_concat(CASE WHEN length(a.open) + length(s.open) + 1 > 3600 AND a.open <> '' THEN list_append(a.closed, a.open) ELSE a.closed END,"
+    " list_transform(range(0, CASE WHEN length(s.open) > 3600 THEN ceil(length(s.open) / 3600)::BIGINT - 1 ELSE 0 END), lambda k: substr(s.open, k * 3600 + 1, 3600))),"
+    " 'open': trim(CASE WHEN length(a.open) + length(s.open) + 1 > 3600 AND a.open <> '' THEN '' ELSE a.open END || ' ' || substr(s.open, CASE WHEN length(s.open) > 3600 THEN ceil(length(s.open) / 3600)::BIGINT - 1 ELSE 0 END * 3600 + 1, 3600))}) AS r FROM p)"
+    ", g AS (SELECT doc_id, source, CASE WHEN length(x) <= 3600 THEN [x] WHEN r.open <> '' THEN list_append(r.closed, r.open) ELSE r.closed END AS cs FROM f)"
+    " SELECT doc_id, (i - 1)::INT AS passage_no, trim(regexp_replace(coalesce(source, '') || CASE WHEN i > 1 THEN '" + C.PART_LABEL + "' || i ELSE '' END, '\\s+', ' ', 'g')) AS title, cs[i] AS body FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS i FROM g)"
+)
+
+
+@query(CHUNKS_SQL)
 def chunk_passages(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", F.col("source").alias("title"), F.col("source").alias("section"), F.lit("").alias("type"), F.lit("").alias("url"), F.col("text").alias("body"))
     return passages.make_passages(rows).select("doc_id", "passage_no", "title", "body")
@@ -509,8 +522,26 @@ def tier_candidates(spark, sf_dir):
 
 # --- sources --------------------------------------------------------------------------------------------
 
+def sql_references(x: str) -> str:
+    """Character references of the given pages resolved."""
+    for name, c in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{c}')"
+    return x
+
+
+def sql_page_text(x: str, between: str) -> str:
+    """Text without tags, with this between what they part, white space as single blanks."""
+    return f"trim(regexp_replace({sql_references(f"regexp_replace({x}, '<[^>]*>', '{between}', 'g')")}, '\\s+', ' ', 'g'))"
+
 
-@query()
+PAGES_CTE = "pg AS (SELECT page_id, regexp_replace(html, '<style>.*?</style>|<script>.*?</script>|<!--.*?-->', ' ', 'gs') AS h FROM pages)"
+
+
+@query(
+    f"WITH {PAGES_CTE}, t AS (SELECT page_id, {sql_page_text("regexp_extract(h, '<title>(.*?)</title>', 1, 's')", ' ')} AS title, {sql_page_text("regexp_extract(h, '<h1>(.*?)</h1>', 1, 's')", ' ')} AS head, {sql_page_text("split_part(h, '<h1>', 1)", ' ')} AS before, {sql_page_text("split_part(h, '</h1>', 2)", ' ')} AS after FROM pg)"
+    ", s AS (SELECT page_id, 0 AS k, title, '' AS heading, before AS body FROM t UNION ALL SELECT page_id, 1, title, head, after FROM t)"
+    " SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::INT AS section_no, title, heading, body FROM s WHERE body <> ''"
+)
 def html_sections(spark, sf_dir):
     return files.html_sections(table(spark, sf_dir, "pages")).select("page_id", "section_no", "title", "heading", "body")
 
@@ -612,31 +643,38 @@ def _people(spark, sf_dir):
     key = F.col("s_suppkey")
     text = lambda c: c.cast("string")
     return s.select(
-        key.alias("idx"), F.concat(F.lit("name "), text(key % 40)).alias("canonical_name"), F.concat(F.lit("abu "), text(key % 11)).alias("kunya"), F.concat(F.lit("d. "), text(200 + key % 23)).alias("death_year_mentioned"),
-        F.array(F.concat(F.lit("g"), text(F.col("s_nationkey")))).alias("geographical_mentions"), F.array(F.concat(F.lit("t"), text(key % 13))).alias("teachers"), F.array(F.concat(F.lit("s"), text(key % 13))).alias("students"),
+        key.alias("idx"), F.md5(text(key % 20)).alias("canonical_name"), F.concat(F.lit("abu "), text(key % 10)).alias("kunya"), F.concat(F.lit("d. "), text(200 + key % 23)).alias("death_year_mentioned"),
+        F.array(F.concat(F.lit("g"), text(F.col("s_nationkey")))).alias("geographical_mentions"), F.array(F.concat(F.lit("t"), text(key % 40))).alias("teachers"), F.array(F.concat(F.lit("s"), text(key % 40))).alias("students"),
     )
 
 
+#: Names are digests, which are equal or far from alike, so that points for names need no similarity in SQL.
 POINTS_SQL = (
-    "pe AS (SELECT s_suppkey AS k, s_nationkey AS g FROM supplier), pt AS (SELECT a.k AS i, b.k AS j, CASE WHEN a.k % 11 = b.k % 11 THEN 15 ELSE 0 END AS kunya, CASE WHEN abs(a.k % 23 - b.k % 23) <= 5 THEN 20 ELSE 0 END AS year,"
-    " CASE WHEN a.k % 13 = b.k % 13 THEN 25 ELSE 0 END AS network, CASE WHEN a.g = b.g THEN 10 ELSE 0 END AS geography FROM pe a JOIN pe b ON a.k < b.k)"
+    "pe AS (SELECT s_suppkey AS k, s_nationkey AS g FROM supplier), ps AS (SELECT a.k AS i, b.k AS j, CASE WHEN a.k % 20 = b.k % 20 THEN 30 ELSE 0 END AS name, CASE WHEN a.k % 10 = b.k % 10 THEN 15 ELSE 0 END AS kunya,"
+    " CASE WHEN abs(a.k % 23 - b.k % 23) <= 5 THEN 20 ELSE 0 END AS year, CASE WHEN a.k % 40 = b.k % 40 THEN 25 ELSE 0 END AS network, CASE WHEN a.g = b.g THEN 10 ELSE 0 END AS geography FROM pe a JOIN pe b ON a.k < b.k)"
+    ", pt AS (SELECT *, name + kunya + year + network + geography AS points FROM ps)"
+)
+CLUSTERS_SQL = (
+    POINTS_SQL + ", eg AS (SELECT i AS a, j AS b FROM pt WHERE points >= 75 UNION ALL SELECT j, i FROM pt WHERE points >= 75)"
+    ", reach(n, r) AS (SELECT k, k FROM pe UNION SELECT reach.n, eg.b FROM reach JOIN eg ON eg.a = reach.r), cl AS (SELECT n AS idx, min(r) AS cluster_id FROM reach GROUP BY n)"
 )
+ABLE = "network > 0 OR (kunya > 0 AND geography > 0) OR (kunya > 0 AND year > 0) OR (geography > 0 AND year > 0)"
 
 
-@query(f"WITH {POINTS_SQL} SELECT i, j, kunya, year, network, geography FROM pt WHERE kunya > 0 OR network > 0 OR (geography > 0 AND year > 0)")
+@query(f"WITH {POINTS_SQL} SELECT i, j, name, kunya, year, network, geography, points FROM pt WHERE {ABLE}")
 def pair_match_score(spark, sf_dir):
-    """Names are scored too, but no SQL has their similarity; golden tests cover it."""
+    """Pairs with enough in common to reach the threshold of review."""
     ready = resolve.prepare(_people(spark, sf_dir))
     out = resolve.score_pairs(resolve.candidate_pairs(ready, ready, True), ready, ready)
-    return out.filter("kunya > 0 OR network > 0 OR (geography > 0 AND year > 0)").select("i", "j", "kunya", "year", "network", "geography")
+    return out.filter(ABLE).select("i", "j", "name", "kunya", "year", "network", "geography", "points")
 
 
-@query()
+@query(f"WITH RECURSIVE {CLUSTERS_SQL} SELECT idx, cluster_id FROM cl")
 def entity_clusters(spark, sf_dir):
     return resolve.cluster(_people(spark, sf_dir))[0]
 
 
-@query()
+@query(f"WITH RECURSIVE {CLUSTERS_SQL} SELECT i, j, points FROM pt JOIN cl a ON a.idx = i JOIN cl b ON b.idx = j WHERE points BETWEEN 55 AND 74 AND a.cluster_id <> b.cluster_id")
 def borderline_pairs(spark, sf_dir):
     return resolve.cluster(_people(spark, sf_dir))[1]
 
@@ -766,15 +804,14 @@ def guess_types(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.guess_type(F.col("p_name")).alias("type"))
 
 
-@query()
+@query("SELECT a.s_suppkey AS idx, min(b.s_suppkey) AS person_id, 55 AS points FROM supplier a JOIN supplier b ON a.s_suppkey % 20 = b.s_suppkey % 20 AND a.s_nationkey = b.s_nationkey WHERE b.s_suppkey % 2 = 0 GROUP BY a.s_suppkey")
 def known_person_match(spark, sf_dir):
-    """Rows only, as no SQL has the similarity of names."""
     people = _people(spark, sf_dir)
     known = people.filter("idx % 2 = 0").select(F.col("idx").alias("person_id"), "canonical_name", "kunya", F.col("geographical_mentions")[0].alias("geographical_scope"))
     return resolve.match_known(people, known, resolve.REVIEW)
 
 
-@query()
+@query(f"WITH {PAGES_CTE}, a AS (SELECT page_id, regexp_extract(h, '<article>(.*?)</article>', 1, 's') AS x FROM pg) SELECT page_id, 0 AS entry_no, {sql_page_text("regexp_extract(x, '<h1>(.*?)</h1>', 1, 's')", '')} AS title, substr({sql_page_text('x', '')}, 1, 4000) AS body FROM a WHERE x <> ''")
 def live_sections(spark, sf_dir):
     return live.live_sections(table(spark, sf_dir, "pages")).select("page_id", "entry_no", "title", "body")
 
