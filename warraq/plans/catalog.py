@@ -14,6 +14,7 @@ from warraq.functions import constants as C
 from warraq.functions import text as T
 from warraq.operators import components as linked
 from warraq.operators import expand, graph, hybrid, index, passages, places, present, rank, resolve, rules, tiers
+from warraq.plans.archive import with_section_rank
 from warraq.sources import files, live, sinks
 
 QUERIES: dict = {}
@@ -821,3 +822,92 @@ def highlight_html(spark, sf_dir):
     """Whole texts with their marks."""
     rows = documents(spark, sf_dir).select("doc_id", "text", F.array(*map(F.lit, SNIPPET_TERMS)).alias("terms"))
     return present.highlight_html(rows, "text", "terms", most=None).select("doc_id", "html")
+
+
+# --- Arabic strings, built from keys as the tables hold none ----------------------------------------------
+
+ROOTS, BEFORE, AFTER = ["كتاب", "قَلْعة", "أَحمد", "إبراهيم", "آل مُبارك", "مصطفى", "سؤال", "شيء"], ["", "ال", "وال", "بال", "لل", "و", "فال"], ["", "ات", "ها", "ين", "ية", "هم", "ون", "ة"]
+
+
+def _made(spark, sf_dir) -> DataFrame:
+    pick = lambda words, k: F.get(F.array(*map(F.lit, words)), k.cast("int"))
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(pick(BEFORE, k % 7), pick(ROOTS, k % 8), pick(AFTER, F.floor(k / 8) % 8)).alias("w"))
+
+
+MADE_SQL = "made AS (SELECT p_partkey, " + " || ".join(f"{words}[({k})::INT + 1]" for words, k in ((BEFORE, "p_partkey % 7"), (ROOTS, "p_partkey % 8"), (AFTER, "(p_partkey // 8) % 8"))) + " AS w FROM part)"
+
+
+def sql_affix_off(x: str, pattern: str) -> str:
+    return f"CASE WHEN regexp_extract({x}, '{pattern}', 1) <> '' THEN regexp_extract({x}, '{pattern}', 1) ELSE {x} END"
+
+
+@query(
+    f"WITH {MADE_SQL}, one AS (SELECT p_partkey, w, {sql_affix_off('w', '^(?:' + '|'.join(C.ARABIC_PREFIXES) + ')(.{3,})$')} AS p FROM made)"
+    f" SELECT p_partkey, w AS word, {sql_affix_off('p', '^(.{3,}?)(?:' + '|'.join(C.ARABIC_SUFFIXES) + ')$')} AS index_stem, {sql_affix_off('p', '^(.{3,}?)(?:' + '|'.join(C.ARABIC_SUFFIXES) + ')$')} AS query_stem FROM one"
+)
+def arabic_stems(spark, sf_dir):
+    """Both stemmers go by script to the same rules for Arabic words."""
+    return _made(spark, sf_dir).select("p_partkey", F.col("w").alias("word"), T.stem_index("w").alias("index_stem"), T.stem_query("w").alias("query_stem"))
+
+
+@query(
+    f"WITH {MADE_SQL} SELECT p_partkey, lower(regexp_replace(regexp_replace(translate(w, '{C.NAME_FROM}', '{C.NAME_TO}'), '[{C.NAME_MARKS}]', '', 'g'), '\\s+', '', 'g')) AS name,"
+    f" trim(translate(regexp_replace(w, '[{C.PLACE_MARKS}]', '', 'g'), '{C.PLACE_FROM}', '{C.PLACE_TO}')) AS place,"
+    f" trim(regexp_replace(translate(regexp_replace(lower(w), '[{C.MARKS}]', '', 'g'), '{C.FOLD_FROM}', '{C.FOLD_TO}'), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS indexed,"
+    f" trim(regexp_replace(translate(regexp_replace(lower(w), '[{C.MARKS}]', '', 'g'), '{C.FOLD_FROM}', '{C.FOLD_TO}'), '\\s+', ' ', 'g')) AS asked,"
+    f" array_to_string(regexp_extract_all(regexp_replace(w, '[{C.NAME_MARKS}]', '', 'g'), '[\\x{{0600}}-\\x{{06FF}}]+|[\\p{{L}}\\p{{N}}_]+'), ',') AS retrieved FROM made"
+)
+def arabic_normal_forms(spark, sf_dir):
+    return _made(spark, sf_dir).select(
+        "p_partkey", T.normalize_name("w").alias("name"), T.normalize_place("w").alias("place"), T.normalize_index("w").alias("indexed"), T.normalize_query("w").alias("asked"), F.array_join(T.retrieval_tokens("w"), ",").alias("retrieved"),
+    )
+
+
+@query("SELECT o_orderkey, translate(o_orderkey::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩') AS shown, o_orderkey AS read FROM orders")
+def local_digits(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", T.local_digits(F.col("o_orderkey")).alias("shown"))
+    return rows.withColumn("read", T.first_number("shown"))
+
+
+@query("SELECT p_partkey, '/' || array_to_string(list_transform(string_split(p_type || '/' || p_name || ' é.html', '/'), lambda x: url_encode(x)), '/') AS url FROM part")
+def url_paths(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.url_path(F.concat("p_type", F.lit("/"), "p_name", F.lit(" é.html"))).alias("url"))
+
+
+RANKS = {"src0": 1.25, "src1": 0.7}
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2.0::DOUBLE WHEN source = 'src0' THEN 1.25 WHEN source = 'src1' THEN 0.7 ELSE 1 END AS rank FROM documents")
+def section_rank(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.col("source").alias("section"), F.when(F.col("doc_id") % 3 == 0, 2.0).otherwise(0.0).alias("rank"))
+    return with_section_rank(rows, RANKS).select("doc_id", "rank")
+
+
+def _routed(spark, sf_dir) -> DataFrame:
+    """Decisions with the columns that the routes write; the head of a cluster is its customer."""
+    heads = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("cluster_id"), F.col("c_name").alias("canonical_name"), F.col("c_mktsegment").alias("kunya"), F.array(F.col("c_mktsegment"), F.col("c_nationkey").cast("string")).alias("geographical_mentions"),
+        F.lit("q").alias("raw_quote"), F.create_map(F.lit("title"), F.col("c_mktsegment")).alias("source_meta"),
+    )
+    return rules.with_traces(_evidence(spark, sf_dir)).join(heads, "cluster_id")
+
+
+def _nobody(spark) -> DataFrame:
+    return spark.createDataFrame([], "idx long, person_id long, points int")
+
+
+@query(f"WITH {EVIDENCE_SQL} SELECT c_name AS canonical_name, relation AS proposed_relation, code AS proposed_evidence_code, confidence AS confidence_score, con AS has_contradiction FROM ga JOIN customer ON c_custkey = c WHERE gate = 'REVIEW'")
+def review_queue_rows(spark, sf_dir):
+    rows = sinks.review_rows(_routed(spark, sf_dir), _nobody(spark))
+    return rows.select("canonical_name", "proposed_relation", "proposed_evidence_code", F.col("confidence_score").cast("int").alias("confidence_score"), "has_contradiction")
+
+
+@query(f"WITH {EVIDENCE_SQL} SELECT c_name AS canonical_name, 'q' AS raw_quote, '{{\"title\":\"' || c_mktsegment || '\"}}' AS source_meta FROM ga JOIN customer ON c_custkey = c WHERE gate = 'REJECT'")
+def rejected_log_rows(spark, sf_dir):
+    return sinks.reject_rows(_routed(spark, sf_dir)).select("canonical_name", "raw_quote", "source_meta")
+
+
+@query(f"WITH {EVIDENCE_SQL} SELECT c AS cluster_id, c_mktsegment || ' / ' || c_nationkey AS geographical_scope, relation, code AS evidence_code, confidence FROM ga JOIN customer ON c_custkey = c WHERE gate = 'ACCEPT'")
+def accepted_persons(spark, sf_dir):
+    return sinks.accepted(_routed(spark, sf_dir), _nobody(spark)).select("cluster_id", "geographical_scope", "relation", "evidence_code", "confidence")
