@@ -152,7 +152,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.DataFrame({id_col: batch.named(), "n_words": np.diff(grams.cuts), "_log": logs, "_single": single, "n_backoffs": steps})
 
     def known_to(questions: DataFrame) -> DataFrame:
-        return looked_up(questions, count_table(questions, min_count, n_tasks), n_tasks)
+        # dealt by batch once: a union of equal partitionings keeps them, so earlier answers aren't dealt anew
+        return looked_up(questions, count_table(questions, min_count, n_tasks), n_tasks).repartition(n_tasks, "b")
 
     known = known_to(dealt.applyInPandas(ask_first, QUESTIONS))
     for n in range(3, order + 1):

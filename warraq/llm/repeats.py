@@ -189,8 +189,8 @@ def repeated_spans(docs: DataFrame, output, schema: str, id_col: str = "doc_id",
         return out
 
     by_batch = dealt.groupBy("b")
-    runs = answered(by_batch.applyInPandas(ask_first, QUESTIONS), _KINDS, n_tasks)
-    windows = answered(by_batch.cogroup(runs.groupBy("b")).applyInPandas(ask_windows, QUESTIONS), _KINDS, n_tasks)
+    runs = answered(by_batch.applyInPandas(ask_first, QUESTIONS), _KINDS, n_tasks).repartition(n_tasks, "b")
+    windows = answered(by_batch.cogroup(runs.groupBy("b")).applyInPandas(ask_windows, QUESTIONS), _KINDS, n_tasks).repartition(n_tasks, "b")
     return by_batch.cogroup(runs.unionByName(windows).groupBy("b")).applyInPandas(finish, schema)
 
 
