@@ -85,12 +85,14 @@ class Profiles:
 def training_sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, per_language: int) -> DataFrame:
     """(lang, text) of at most per_language rows of each language: those whose id has the smallest hash.
 
-    Hashes alone are ranked, of which each task keeps per_language for a language; the cuts that follow, a row for
-    each language, are broadcast up to a checked number of languages and joined by language beyond it.
+    The number of rows of each language sets a cut of the hash, so that only about twice the sample is ranked, however
+    many tasks there are.  The cuts, a row for each language, are broadcast up to a checked number of languages and
+    joined by language beyond it.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("h"))
-    first = Window.partitionBy("lang").orderBy("h")
-    cuts = cut_lineage(rows.select("lang", "h").withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= per_language).groupBy("lang").agg(F.max("h").alias("cut")))
+    share = F.lit(2.0 * per_language + 50) / F.col("n")
+    cut = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((share * float(1 << 64) - float(1 << 63)).cast("long"))
+    cuts = cut_lineage(rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", cut.alias("cut")))
     near = F.broadcast(cuts) if cuts.count() <= BROADCAST_LANGUAGES else cuts
     picked = rows.join(near, "lang").filter(F.col("h") <= F.col("cut"))
     order = Window.partitionBy("lang").orderBy("h", "text")  # rows that repeat an id have one hash

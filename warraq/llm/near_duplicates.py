@@ -292,7 +292,8 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("node").alias("a"), F.col("top").alias("b")))
     of_set = sets.select("key", "at.id", "size").join(links.join(classes, "node", "left").withColumnRenamed("node", "key"), "key", "left").withColumn("class_key", F.coalesce("root", "key"))
-    heads = of_set.groupBy("class_key").agg(F.min("id").alias("class_id"))
+    of_set = cut_lineage(of_set)
+    heads = cut_lineage(of_set.groupBy("class_key").agg(F.min("id").alias("class_id")))  # so that a large class's join can be split
     of_set = of_set.join(heads, "class_key").select("key", "class_key", F.col("id").alias("set_id"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     every = signed.select("id", *(f"kept{k}" for k in range(len(keep))), "key").join(of_set, "key", "left")
     own = lambda c: F.when(F.col("key").isNotNull(), F.col(c)).otherwise(F.col("id")).alias(c)
