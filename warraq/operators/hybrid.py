@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from warraq.functions import text as T
+from warraq.operators.components import cut_lineage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -61,6 +62,7 @@ def combine(docs: DataFrame, queries: DataFrame, bm25: DataFrame, dense: DataFra
         part = both.select("query_id", id_col, (weight * F.coalesce("score", F.lit(0.0)) + (1 - weight) * F.coalesce("cosine", F.lit(0.0))).alias("score"))
     asked = queries.select("query_id").distinct()
     part = part.join(docs.select(id_col), id_col, "left_semi").join(F.broadcast(asked), "query_id", "left_semi")  # at most 1000 rows
+    part = cut_lineage(part)  # scored once, read three times
     figures = asked.join(part, "query_id", "left").groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("good"), F.count("score").alias("scored"))
     short = figures.filter(F.col("good") < top_k)
     most = short.agg(F.max("scored")).first()[0]
