@@ -31,6 +31,8 @@ from warraq.operators.components import components, cut_lineage
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
 BANDS, ROWS, STEP = 28, 4, 16
 BLOCK, ROUNDS = 400, 2
+#: Bytes of whole texts that are signed at once; a longer text comes by itself.
+PART = 1 << 18
 
 
 @cache
@@ -83,7 +85,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
             ends = np.cumsum([0, *map(len, texts)])
             first = 0
             while first < len(texts):
-                last = max(first + 1, int(np.searchsorted(ends, ends[first] + (1 << 20))))
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + PART)))
                 last = min(last, len(texts))
                 offsets = ends[first : last + 1] - ends[first]
                 words, cuts = words_of(offsets, np.frombuffer(b"".join(texts[first:last]), np.uint8))

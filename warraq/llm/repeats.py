@@ -27,8 +27,8 @@ from warraq.llm._exchange import ANSWERS, QUESTIONS, Batch, PrefixHash, Question
 
 THRESHOLD, ANCHOR = 100, 32
 _PLACE_BITS = 24
-#: Bytes that are digested at once; a longer text goes in parts.
-PART = 1 << 20
+#: Bytes that are digested at once, whose prefix sums take some 40 times their size; a longer text goes in parts.
+PART = 1 << 18
 _ANCHORS, _RUNS, _WINDOWS = 0, 1, 2
 
 
