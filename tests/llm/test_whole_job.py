@@ -30,6 +30,11 @@ def next_row(row, v, b):
     return out
 
 
+def written(spark):
+    """Bytes that all stages of the session have shuffled."""
+    return sum(x.totalShuffleWrite() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsc.sc().statusStore().executorList(False)))
+
+
 # chained passages
 
 
@@ -187,3 +192,25 @@ def test_broken_markup_takes_time_in_proportion():
         began = time.perf_counter()
         html_main.main_text(part * 20_000)
         assert time.perf_counter() - began < 5, part
+
+
+# near copies
+
+
+def test_blocks_of_near_copies_travel_packed(spark, monkeypatch):
+    """A set of a large group once travelled whole to each pair of blocks: bytes grew with the square of the group."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", 10)
+    rng, fill = random.Random(31), some_words(32)
+    base, texts = fill(400), []
+    for _ in range(200):
+        t = list(base)
+        for _ in range(rng.randrange(1, 8)):
+            t[rng.randrange(len(t))] = fill(1)[0]
+        texts.append(t)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    before = written(spark)
+    rows = near_duplicates.linked_documents(df).collect()
+    sets = [{tuple(t[k : k + near_duplicates.WORDS]) for k in range(len(t) - near_duplicates.WORDS + 1)} for t in texts]
+    links = [sum(len(a & b) >= near_duplicates.THRESHOLD * len(a | b) for b in sets) - 1 for a in sets]
+    assert {r.doc_id: r.n_links for r in rows} == dict(enumerate(links)) and sum(links) > 100 * len(texts)
+    assert written(spark) - before < 4 * sum(8 * len(a) for a in sets)

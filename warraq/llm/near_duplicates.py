@@ -6,13 +6,15 @@
    reaching the threshold falls below the tolerance.  What is dropped is compared with the least of what its
    bucket dropped, in a second round, and what a bucket drops twice stays linked without a test, so no similar
    pair ever lies in two components.  Connected components of these links are the areas.
-3. An area is cut into blocks; each pair of blocks is one task.  There, the same test rules pairs out, and what is
-   left is verified on the whole sets.
+3. An area is cut into blocks, each packed once: its distinct n-grams, and for each set which of them it has, so that
+   near copies add little.  Each pair of packed blocks is one task.  There, the same test rules pairs out, and what
+   is left is verified on the whole sets.  An area of one block is verified where it is gathered.
 4. Tasks return counts of links and spanning links of their components, never all pairs.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import cache, reduce
 from math import comb
@@ -20,6 +22,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -221,6 +224,20 @@ def _spanning(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return root
 
 
+def packed_block(node: list[bytes], size: np.ndarray, low: np.ndarray, grams: list[np.ndarray]) -> bytes:
+    """Sets of a block in few bytes: n-grams that they share are there once, equal MinHash values side by side."""
+    values = np.unique(np.concatenate(grams))
+    steps = np.concatenate([np.diff(np.searchsorted(values, g), prepend=0) for g in grams]).astype(np.uint32)
+    parts = (node, size, np.ascontiguousarray(low.T), np.array([len(g) for g in grams]), values, pack(steps))
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(parts, protocol=5))
+
+
+def unpacked_block(raw: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, list[np.ndarray]]:
+    node, size, low, lengths, values, steps = pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
+    parts = np.split(unpack(steps, "u4")[0].astype(np.int64), np.cumsum(lengths)[:-1])
+    return node, size, np.ascontiguousarray(low.T), [values[np.cumsum(p)] for p in parts]
+
+
 def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, bands: int = BANDS, rows: int = ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, the kept columns, class_id, set_id, n_links, class_key) of each row.
 
@@ -262,35 +279,54 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             some = np.flatnonzero(np.diff(starts))
             own = {name.tobytes(): k for k, name in zip(some.tolist()[::-1], set_keys(keys, starts[some])[::-1], strict=True)} if len(some) else {}
             for r in asked.itertuples(index=False):
-                mine = keys[starts[own[r.node]] : starts[own[r.node] + 1]]
-                out.append((r.node, r.root, r.size, r.blocks, r.block, minhashes(mine, np.array([0, len(mine)]), total).tobytes(), pack(mine)))
-        return pd.DataFrame(out, columns=["node", "root", "size", "blocks", "block", "low", "grams"])
+                out.append((r.node, r.root, r.size, r.blocks, r.block, pack(keys[starts[own[r.node]] : starts[own[r.node] + 1]])))
+        return pd.DataFrame(out, columns=["node", "root", "size", "blocks", "block", "grams"])
 
     dealt = batches(docs, n_batches, id_col, text_col).repartition(tasks_for(docs), "b")
-    loaded = dealt.groupBy("b").cogroup(spot.groupBy("b")).applyInPandas(gather, "node binary, root binary, size long, blocks int, block int, low binary, grams binary")
-    # a row for each pair of blocks that its block is part of
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
-    tasks = loaded.select("node", "root", "size", "block", "low", "grams", F.explode(pairs).alias("p")).select("*", "p.x", "p.y").drop("p")
-
-    def verify(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        _, x, y = key
-        part = part.sort_values("node", kind="stable").reset_index(drop=True)
-        node, size = part.node.to_numpy(), part["size"].to_numpy()
-        low = np.frombuffer(b"".join(part.low), np.uint32).reshape(len(part), total)
-        a, b = np.flatnonzero(part.block == x), np.flatnonzero(part.block == y)
-        left, right = likely_pairs(low[a], low[b], x == y, threshold, tolerance)
-        grams = [unpack(g, "u8")[0] for g in part.grams]
+    loaded = dealt.groupBy("b").cogroup(spot.groupBy("b")).applyInPandas(gather, "node binary, root binary, size long, blocks int, block int, grams binary")
+
+    def verify(one: tuple, other: tuple | None) -> pd.DataFrame:
+        """Links between two blocks, or inside one."""
+        (node, size, low, grams), n_one = one, len(one[0])
+        a = b = np.arange(n_one)
+        if other:
+            node, size, low, grams = node + other[0], np.concatenate((size, other[1])), np.concatenate((low, other[2])), grams + other[3]
+            b = np.arange(n_one, len(node))
+        left, right = likely_pairs(low[a], low[b], not other, threshold, tolerance)
         length = np.array([len(g) for g in grams])
         shared = shared_counts([grams[i] for i in a], [grams[i] for i in b], left, right)
         left, right = a[left], b[right]
         ok = shared >= threshold * (length[left] + length[right] - shared) - 1e-9
         left, right = left[ok], right[ok]
-        links = np.bincount(left, size[right], len(part)) + np.bincount(right, size[left], len(part))
-        root = _spanning(len(part), left, right)
-        some = links > 0
-        return pd.DataFrame({"node": node[some], "links": links[some].astype(np.int64), "top": node[root[some]]})
-
-    found = cut_lineage(tasks.groupBy("root", "x", "y").applyInPandas(verify, "node binary, links long, top binary"))
+        links = np.bincount(left, size[right], len(node)) + np.bincount(right, size[left], len(node))
+        root = _spanning(len(node), left, right)
+        some = np.flatnonzero(links > 0)
+        return pd.DataFrame({"node": [node[i] for i in some], "links": links[some].astype(np.int64), "top": [node[i] for i in root[some]]})
+
+    def one_block(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        """The block's own links and, if its area has others, the block itself."""
+        part = part.sort_values("node", kind="stable")
+        grams = [unpack(g, "u8")[0] for g in part.grams]
+        low = minhashes(np.concatenate(grams), np.concatenate(([0], np.cumsum([len(g) for g in grams]))), total)
+        block = part.node.tolist(), part["size"].to_numpy(), low, grams
+        out, blocks = verify(block, None), int(part.blocks.iloc[0])
+        if blocks > 1:
+            out = pd.concat([out, pd.DataFrame({"root": [key[0]], "blocks": [blocks], "block": [key[1]], "payload": [packed_block(*block)]})])
+        return out.reindex(columns=["node", "links", "top", "root", "blocks", "block", "payload"]).astype({c: "Int64" for c in ("links", "blocks", "block")})
+
+    def two_blocks(part: pd.DataFrame) -> pd.DataFrame:
+        if len(part) < 2:  # a block may be empty, as they are filled by a hash
+            return pd.DataFrame(columns=["node", "links", "top"])
+        one, other = (unpacked_block(p) for p in part.sort_values("block").payload)
+        return verify(one, other)
+
+    told = "node binary, links long, top binary"
+    inside = cut_lineage(loaded.groupBy("root", "block").applyInPandas(one_block, f"{told}, root binary, blocks int, block int, payload binary"))
+    # a row for each other block that a block meets
+    others = F.transform(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
+    pairs = inside.filter("payload IS NOT NULL").select("root", "block", "payload", F.explode(others).alias("p")).select("root", "block", "payload", "p.x", "p.y")
+    between = pairs.groupBy("root", "x", "y").applyInPandas(two_blocks, told)
+    found = cut_lineage(inside.filter("node IS NOT NULL").select("node", "links", "top").union(between))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("node").alias("a"), F.col("top").alias("b")))
     of_set = sets.select("key", "at.id", "size").join(links.join(classes, "node", "left").withColumnRenamed("node", "key"), "key", "left").withColumn("class_key", F.coalesce("root", "key"))
