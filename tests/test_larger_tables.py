@@ -64,3 +64,8 @@ def test_live_references_without_their_semicolon_stay():
     page = "<article><h1>a&amp;&amp</h1><p>b &copy; &cop</p></article><script type='application/ld+json'>{\"name\": \"x\", \"description\": \"R&D &amp y\"}</script>"
     found = live.parse_live_page(page, "/p")
     assert (found[0]["title"], found[0]["body"]) == ("a&&amp", "a&&ampb © &cop") and len(found) == 2
+
+
+def test_live_entries_have_their_whole_text():
+    words = "word " * 3000
+    assert live.parse_live_page(f"<article><h1>t</h1> {words}</article>", "/p")[0]["body"] == f"t {words}".strip()
