@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from warraq.functions import text as T
-from warraq.operators.components import cut_lineage
+from warraq.operators.components import cut_lineage, few
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -14,18 +14,21 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 def okapi(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, id, bm25) of documents that share a token with the query; others score 0.
 
-    Negative idf values become a quarter of the mean idf of all tokens, as the public library does.
+    Negative idf values become a quarter of the mean idf of all tokens, as the public library does.  Texts are dealt by
+    document before they become tokens, so no token is shuffled by document; of the counts only those asked for are kept.
     """
-    tokens = docs.select(id_col, F.explode(T.retrieval_tokens(text_col)).alias("token"))
+    tokens = docs.select(id_col, text_col).repartition(id_col).select(id_col, F.explode(T.retrieval_tokens(text_col)).alias("token"))
     counts = tokens.groupBy(id_col, "token").agg(F.count("*").alias("tf"))
-    sizes = counts.groupBy(id_col).agg(F.sum("tf").alias("dl"))
+    asked = cut_lineage(queries.select("query_id", F.explode(T.retrieval_tokens("q")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times")))
+    wanted = few(asked.select("token").distinct().withColumn("wanted", F.lit(True)))
+    found = F.collect_list(F.when(F.col("wanted"), F.struct("token", "tf"))).alias("found")
+    sizes = cut_lineage(counts.join(wanted, "token", "left").groupBy(id_col).agg(F.sum("tf").alias("dl"), found))  # a row for each document
     figures = docs.agg(F.count("*").alias("n")).crossJoin(sizes.agg(F.sum("dl").alias("all")))  # one row each
     df = counts.groupBy("token").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(figures)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = cut_lineage(df).crossJoin(F.broadcast(figures)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    asked = queries.select("query_id", F.explode(T.retrieval_tokens("q")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    weighted = asked.join(raw, "token").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")))
-    hits = weighted.join(counts, "token").join(sizes, id_col)
+    weighted = raw.join(few(asked), "token").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")))
+    hits = sizes.select(id_col, "dl", F.explode("found").alias("f")).select(id_col, "dl", "f.token", "f.tf").join(few(cut_lineage(weighted)), "token")
     value = F.col("times") * F.col("idf") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("all") / F.col("n")))))
     parts = hits.groupBy("query_id", id_col).agg(F.sort_array(F.collect_list(F.struct("token", value.alias("x")))).alias("parts"))  # added in one order
     return parts.select("query_id", id_col, F.aggregate("parts", F.lit(0.0), lambda total, p: total + p.x).alias("bm25"))
